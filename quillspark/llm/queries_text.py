@@ -1,11 +1,11 @@
-"""Queries on running text: sentences."""
+"""Queries on running text: sentences and token ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import sentences
+from quillspark.llm import sentences, tokens
 from quillspark.session import table
 
 
@@ -13,5 +13,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(table(spark, sf_dir, "paragraph"), "para_id", "text", ["ingested_at"])
 
 
-QUERIES = {"p1_found": p1_found}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p7_ids": p7_ids}
 SQL: dict[str, str] = {}
