@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import queries_text
+from quillspark.llm import queries_pairs, queries_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(queries_text.QUERIES)
+    return queries_text.QUERIES | queries_pairs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(queries_text.SQL)
+    return queries_text.SQL | queries_pairs.SQL
