@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import setjoin
+from quillspark.llm import linkage, setjoin
 from quillspark.session import table
 
 NEAR_DUPLICATE = 0.7
@@ -29,5 +29,33 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(count, "rep", "left").select(F.col("id").alias("id_int"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes}
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The linked pairs with their confidence."""
+    paper = table(spark, sf_dir, "paper").select(
+        F.col("id_int").cast("long").alias("id"),
+        "title",
+        F.transform("author", lambda a: F.struct(a.givenname.alias("given"), a.familyname.alias("family"))).alias("people"),
+        F.col("publicationdate.year").alias("year"),
+        "venue",
+        "doi",
+        "abstract",
+    )
+    meta = table(spark, sf_dir, "meta_record").select(
+        F.col("meta_id").cast("long").alias("id"),
+        "title",
+        F.transform("authors", lambda a: F.struct(F.concat_ws(" ", a.first, a.middle).alias("given"), a.last.alias("family"))).alias("people"),
+        "year",
+        F.coalesce(F.nullif(F.trim("venue"), F.lit("")), "journal").alias("venue"),
+        "doi",
+        "abstract",
+    )
+    links = linkage.link(paper, meta)
+    return links.select(F.col("id_l").alias("id_int"), F.col("id_r").alias("meta_id"), "confidence")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_links(spark, sf_dir).select("id_int", "meta_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_links": p3_links}
 SQL: dict[str, str] = {}
