@@ -19,13 +19,13 @@ alex alexander alexandra|lex alexander|sandy alexander alexandra|sasha alexander
 ben benjamin|benny benjamin|benji benjamin|chris christopher christina|kit christopher|topher christopher|dima dmitri|mitya dmitri|katya ekaterina|kate ekaterina katharina katherine
 katja katharina ekaterina|kathi katharina|kathy katharina|beth elisabeth elizabeth|liz elisabeth elizabeth|lisa elisabeth|betty elisabeth|elsa elisabeth|lisbeth elisabeth
 fred frederick alfred|freddy frederick|rick frederick richard|gabi gabriela gabriel|gaby gabriela|henri henrietta|hetty henrietta|etta henrietta|harriet henrietta
-iggy ignatius|nate ignatius|inga ines|johnny johannes john|hans johannes|hannes johannes|jo josephine johanna joseph|josie josephine|jean johannes|fina josephine
+iggy ignatius|nate ignatius|inga ines|johnny johannes john|hans johannes|hannes johannes|jo josephine johanna joseph johannes|josie josephine|jean johannes|fina josephine
 leo leonora leonard|nora leonora eleonora|lora leonora|margo margarethe|greta margarethe|gretel margarethe|maggie margarethe margaret|meg margarethe margaret|rita margarethe margarita|grete margarethe
 matt matthias matthew|matty matthias|hias matthias|mike michael|mick michael|micha michael|mischa michael|klaus nikolaus|nick nikolaus nicholas|niko nikolaus|nik nikolaus|claus nikolaus
 oli olivier oliver|ollie olivier oliver|penny penelope|nell penelope|pip philippa philip|pippa philippa|flip philippa|bob robert|rob robert|bert robert albert|robbie robert|bobby robert
 rosa rosalind|ros rosalind|roz rosalind|linda rosalind|rosie rosalind|sam samuel samantha|sammy samuel|sue susanna susan|susi susanna|suzy susanna|sanna susanna|anna susanna
 dora theodora|thea theodora|teddy theodora theodore|ted theodora theodore|tom tomas thomas|tommy tomas thomas|vic victoria victor|vicky victoria|tori victoria|vince vincent|vinny vincent
-will william|bill william|billy william|willy william|liam william|zach zacharias|zack zacharias|zac zacharias|jan johannes|steve stephen stellan|stel stellan|bjorn bjarne|ravi ravindra
+fritz friedrich frederick|kati katharina|xander alexander|sandra alexandra|nico nikolaus|jules julius|lotte charlotte|heini heinrich|will william|bill william|billy william|willy william|liam william|zach zacharias|zack zacharias|zac zacharias|jan johannes|steve stephen stellan|stel stellan|bjorn bjarne|ravi ravindra
 jeanlu jeanluc|heinz karlheinz|karl karlheinz|anne annemarie|marie annemarie|lou adalou|ada adalou|mei meilin|emil emile|milou emile|lucy lucja|lucia lucja|zo zoe|hugh hugo|marty marta martin|tilda matilda
 """
 _NICK: dict[str, frozenset[str]] = {}
@@ -37,16 +37,23 @@ for _entry in NICKNAMES.replace("\n", "|").split("|"):
 
 @lru_cache(50_000)
 def fold(text: str) -> str:
-    """Lower case, without accents; written-out umlauts are taken back."""
+    """Lower case, without accents."""
     text = unicodedata.normalize("NFKD", text.lower().translate(_LETTERS))
-    text = "".join(c for c in text if not unicodedata.combining(c)).translate(_LETTERS)
+    return "".join(c for c in text if not unicodedata.combining(c)).translate(_LETTERS)
+
+
+def plain(text: str) -> str:
+    """A folded word whose written-out umlauts are taken back."""
     return text.replace("oe", "o").replace("ae", "a").replace("ue", "u")
 
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
-def _tokens(text: str | None) -> list[str]:
+def _tokens(text: str | None, joined: bool = False) -> list[str]:
+    """Words of a name without titles; ``joined`` takes a hyphenated name as one word."""
+    if joined:
+        text = re.sub(r"(?<=[^\W\d_]{2})-(?=[^\W\d_]{2})", "", text or "")
     return [t.replace("’", "'") for t in _TOKEN.findall(fold(text or "")) if t not in TITLES]
 
 
@@ -60,17 +67,17 @@ def person(given: str | None, family: str | None) -> tuple[tuple[str, ...], tupl
     given, family = given or "", family or ""
     if "," in family:
         left, _, right = family.partition(",")
-        extra = [t for t in _tokens(right)]
+        extra = _tokens(right, True)
         if extra and not _tokens(given):
             family, given = left, right
         else:
             family = left
-    # capital letters alone are initials
+    # two capital letters alone are initials
     bare = re.sub(r"[^\w]", "", given)
-    if 1 < len(bare) <= 3 and bare.isupper() and re.fullmatch(r"[^\W\d_]+", bare):
+    if len(bare) == 2 and bare.isupper() and re.fullmatch(r"[^\W\d_]+", bare):
         givens = [fold(c) for c in bare]
     else:
-        givens = _tokens(given)
+        givens = _tokens(given, True)
     families = _tokens(family)
     if not givens and len(families) > 1:
         lead = 1
@@ -79,7 +86,7 @@ def person(given: str | None, family: str | None) -> tuple[tuple[str, ...], tupl
         if "-" in family:
             head = family.strip().split()[0]
             lead = max(lead, len(_tokens(head)))
-        families, givens = families[:lead], families[lead:]
+        families, givens = families[:lead], _tokens(" ".join(families[lead:]))
     return tuple(givens), tuple(families)
 
 
@@ -98,8 +105,8 @@ def institution(text: str | None) -> str:
 
 
 def near(a: str, b: str, least: int = 5) -> bool:
-    """Equal, or one edit or swap of neighbours apart where both are long enough."""
-    if a == b:
+    """Equal but for written-out umlauts, or one edit or swap of neighbours apart where both are long enough."""
+    if a == b or plain(a) == plain(b):
         return True
     la, lb = len(a), len(b)
     if abs(la - lb) > 1 or min(la, lb) < least - 1 or max(la, lb) < least:
@@ -112,15 +119,27 @@ def near(a: str, b: str, least: int = 5) -> bool:
     return a[i + 1 :] == b[i:] if la > lb else a[i:] == b[i + 1 :]
 
 
+@lru_cache(100_000)
+def long_names(a: str) -> frozenset[str]:
+    """The names a short form stands for, also if it holds a typing error."""
+    if a in _NICK or len(a) < 4 or len(a) > 7:
+        return _NICK.get(a, frozenset())
+    return frozenset().union(*(long for short, long in _NICK.items() if len(short) > 3 and short[0] == a[0] and near(short, a, 4)))
+
+
+@lru_cache(100_000)
 def same_given(a: str, b: str) -> int:
     """2 for one name in full, 1 for an initial of the other, 0 for different names."""
     if a == b:
         return 2 if len(a) > 1 else 1
     if len(a) == 1 or len(b) == 1:
-        return int(a[0] == b[0])
-    if b in _NICK.get(a, ()) or a in _NICK.get(b, ()) or _NICK.get(a, frozenset()) & _NICK.get(b, frozenset()):
+        if len(a) > 1:
+            a, b = b, a
+        return int(a == b[0] or any(n[0] == a for n in long_names(b)))
+    if near(a, b, 4):
         return 2
-    return 2 if near(a, b, 4) else 0
+    la, lb = long_names(a), long_names(b)
+    return 2 if la & lb or any(near(n, b, 4) for n in la) or any(near(n, a, 4) for n in lb) else 0
 
 
 def doi(text: str | None) -> str:
@@ -143,6 +162,9 @@ _FOLLOW = re.compile(
     r"^(further notes on|more on|notes on|another look at|a second look at|beyond|addendum to|corrigendum to|erratum to|reply to|comment on)\b"
     r"|\b(part (?:[ivx]+|\d+|one|two|three)|[ivx]{2,4}|\d{1,2}|extended (?:study|version|abstract|report)|revisited|continued|a follow up|follow up study|second study|an update|erratum|corrigendum)$"
 )
+# Words of these marks in which a typing error is put right, by position from the start and from the end.
+_LEADING = ("further", "notes")
+_TRAILING = ((2, ("part", "extended")), (1, ("study", "revisited")))
 
 
 @lru_cache(20_000)
@@ -150,7 +172,11 @@ def title(text: str | None) -> tuple[str, str, bool]:
     """(title without small words and follow-up marks, the marks, whether it was cut short)."""
     text = (text or "").strip().strip("[]* ")
     cut = text.endswith(("...", "…"))
-    words = " ".join(re.findall(r"[^\W_]+", fold(text)))
+    tokens = re.findall(r"[^\W_]+", fold(text))
+    for at, marked in [*enumerate(_LEADING), *((len(tokens) - k, w) for k, ws in _TRAILING for w in ws)]:
+        if 0 <= at < len(tokens) and near(tokens[at], marked, 4):
+            tokens[at] = marked
+    words = " ".join(tokens)
     marks = []
     while m := _FOLLOW.search(words):
         rest = (words[: m.start()] + words[m.end() :]).strip()

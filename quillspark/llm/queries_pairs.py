@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import linkage, setjoin
+from quillspark.llm import linkage, people, setjoin
 from quillspark.session import table
 
 NEAR_DUPLICATE = 0.7
@@ -57,5 +57,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_links(spark, sf_dir).select("id_int", "meta_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_links": p3_links}
+def p6_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per spelling: the person it stands for."""
+    rows = table(spark, sf_dir, "author_name").select(F.col("name_id").cast("long").alias("id"), F.col("givenname").alias("given"), F.col("familyname").alias("family"), F.col("affiliation").alias("place"))
+    return people.resolve(rows).select(F.col("id").alias("name_id"), F.col("person").alias("person_id"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = p6_persons(spark, sf_dir).select(F.col("name_id").alias("id"), F.col("person_id").alias("person"))
+    return people.pairs(resolved).select(F.col("a").alias("name_id_a"), F.col("b").alias("name_id_b"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_persons": p6_persons, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_links": p3_links}
 SQL: dict[str, str] = {}
