@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
