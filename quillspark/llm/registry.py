@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import queries_pairs, queries_text
+from quillspark.llm import queries_corpus, queries_pairs, queries_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return queries_text.QUERIES | queries_pairs.QUERIES
+    return queries_text.QUERIES | queries_pairs.QUERIES | queries_corpus.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return queries_text.SQL | queries_pairs.SQL
+    return queries_text.SQL | queries_pairs.SQL | queries_corpus.SQL
