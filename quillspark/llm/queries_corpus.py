@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import subjects
+from quillspark.llm import mixing, subjects, tokens
 from quillspark.session import table
 
 
@@ -23,5 +23,24 @@ def p9_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"), F.sum(F.col("share").cast("double")).alias("weight"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_makeup": p9_makeup}
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    documents = table(spark, sf_dir, "documents")
+    sized = tokens.count_tokens(documents.filter("source is not null").select("doc_id", "source", "lang", "text"), "text")
+    topics = subjects.leading(documents.select("doc_id", "lang", "text"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"))
+    language = F.substring(F.lower(F.trim("lang")), 1, 2)
+    rows = sized.join(topics, "doc_id", "left").select("doc_id", "source", F.coalesce(language, F.lit("un")).alias("language"), "topic", "tokens")
+    return mixing.plan(rows, table(spark, sf_dir, "mix_target"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture and how often each is used."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return _mix(spark, sf_dir)[1]
+
+
+QUERIES = {"p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_makeup": p9_makeup}
 SQL: dict[str, str] = {}

@@ -297,3 +297,14 @@ def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame, matter: fl
     one = shared.groupBy("doc_id").agg(F.max_by("shares", "matter").alias("shares"), F.max("matter").alias("matter"))
     found = one.filter(F.col("matter") >= matter).select("doc_id", F.explode(F.arrays_zip(names.alias("subject"), F.col("shares").alias("share"))).alias("x"))
     return found.select("doc_id", "x.subject", "x.share").filter(F.col("share") >= level), model, level
+
+
+def leading(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
+    """(doc_id, topic): the subject with the greatest share of each document, '' where it has none."""
+    cut = Cut(documents.sparkSession)
+    table = bags(documents.filter("doc_id is not null"), cut)
+    model = fit(table, labels, areas)
+    names = F.array(*[F.lit(s) for s in [*model.subjects, ""]])
+    best = F.array_position("shares", F.array_max("shares")).cast("int")
+    topic = F.when((F.col("matter") > 0) & (best > 0), F.get(names, best - 1)).otherwise("")
+    return shares(table, model).groupBy("doc_id").agg(F.max_by("shares", "matter").alias("shares"), F.max("matter").alias("matter")).select("doc_id", topic.alias("topic"))
