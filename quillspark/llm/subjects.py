@@ -36,6 +36,7 @@ FREE_TOPICS = 6
 ROUNDS, STEPS = 4, 6
 ALPHA, ETA = 0.05, 0.02
 COMMON = 0.3
+BLOCK = 128
 TOP_TERMS = 30
 
 _HEADS = "references|bibliography|literature cited|literatur|literaturverzeichnis|références|bibliographie|referencias|bibliografía|список литературы|литература|参考文献|المراجع|संदर्भ|เอกสารอ้างอิง"
@@ -109,21 +110,27 @@ def _csr(batch: pa.RecordBatch, vocabulary: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def infer(row: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, topics: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Topic weights of each document (n, K) and expected counts of each entry; ``topics`` is (V, K)."""
+    """Topic weights of each document (n, K) and expected counts of each entry; ``topics`` is (V, K).
+
+    Documents go in blocks whose arrays stay in the processor's cache.
+    """
     k = topics.shape[1]
-    theta = np.full((n, k), 1.0 / k, np.float32)
-    if not len(row):
-        return theta * 0, np.zeros((0, k), np.float32)
-    first = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1])
-    present = row[first]
-    phi = topics[word]
-    for _ in range(steps):
-        share = phi * theta[row]
-        share *= (count / np.maximum(share.sum(1), 1e-30))[:, None]
-        theta[present] = np.add.reduceat(share, first, axis=0) + ALPHA
-    gone = np.ones(n, bool)
-    gone[present] = False
-    theta[gone] = 0
+    theta, share = np.zeros((n, k), np.float32), np.empty((len(row), k), np.float32)
+    edges = np.searchsorted(row, np.arange(0, n + BLOCK, BLOCK))
+    for begin, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        if begin == end:
+            continue
+        own = row[begin:end]
+        first = np.concatenate([[0], np.nonzero(np.diff(own))[0] + 1])
+        place = np.repeat(np.arange(len(first)), np.diff(np.append(first, end - begin)))
+        phi, amount = topics[word[begin:end]], count[begin:end]
+        weight = np.full((len(first), k), 1.0 / k, np.float32)
+        for _ in range(steps):
+            at = weight[place]
+            scale = (amount / np.maximum(np.einsum("ij,ij->i", phi, at), 1e-30))[:, None]
+            weight = weight * np.add.reduceat(phi * scale, first, axis=0) + ALPHA
+        share[begin:end] = phi * at * scale
+        theta[own[first]] = weight
     return theta, share
 
 
