@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import queries_nested, queries_orphans
+from quillspark.plans import queries_nested, queries_orphans, queries_search
 from quillspark.session import table
 
-MODULES = (queries_nested, queries_orphans)
+MODULES = (queries_nested, queries_orphans, queries_search)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
