@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
+_SPANS = types.ArrayType(types.StructType([types.StructField("start", types.IntegerType()), types.StructField("end", types.IntegerType())]))
 WORD = r"([\p{L}\p{N}_]+)"
 
 # The customary English stop words; the single letters among them are kept apart.
@@ -110,7 +112,7 @@ def indel_ratio(a: str | None, b: str | None) -> float | None:
     return 100.0 if not total else 200.0 * _common_subsequence(a, b) / total
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(types.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
@@ -152,7 +154,7 @@ def near_matches(needle: str, text: str, most: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
+@F.pandas_udf(_SPANS)
 def find_near(needle: pd.Series, text: pd.Series, most: pd.Series) -> pd.Series:
     """Places of a needle in a text whose repeated white space is passed over; offsets are those of the text as given."""
     out = []

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import queries_nested, queries_orphans, queries_search
-from quillspark.session import table
+from quillspark.plans import queries_nested, queries_orphans, queries_records, queries_search, queries_sql
 
-MODULES = (queries_nested, queries_orphans, queries_search)
+MODULES = (queries_nested, queries_orphans, queries_search, queries_records, queries_sql)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "paper").groupBy("collection").count()
+    """Nearest vectors among the documents that satisfy a keyword query."""
+    return queries_search.vector_topk_filtered(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,3 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for module in MODULES for name, sql in module.SQL.items()}
+
+
+SQL_NAMES = frozenset(oracle_sql())
