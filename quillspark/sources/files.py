@@ -74,7 +74,7 @@ def parse_documents(files: DataFrame, name: str = "member") -> DataFrame:
                 try:
                     rows.append({"file": path, "error": None, **markup.parse(bytes(content))})
                 except (markup.ET.ParseError, ValueError) as error:
-                    rows.append({"file": path, "error": str(error)[:200]})
-            yield pd.DataFrame(rows, columns=["file", "error", *markup.FIELDS])
+                    rows.append({"file": path, "error": str(error)[:200], **dict.fromkeys(markup.FIELDS)})
+            yield pd.DataFrame(rows, columns=["file", "error", *markup.FIELDS], dtype=object)
 
     return files.select(name, "content").mapInPandas(run, f"file string, error string, {markup.SCHEMA}")
