@@ -25,10 +25,8 @@ def p9_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     documents = table(spark, sf_dir, "documents")
-    sized = tokens.count_tokens(documents.filter("source is not null").select("doc_id", "source", "lang", "text"), "text")
-    topics = subjects.leading(documents.select("doc_id", "lang", "text"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"))
-    language = F.substring(F.lower(F.trim("lang")), 1, 2)
-    rows = sized.join(topics, "doc_id", "left").select("doc_id", "source", F.coalesce(language, F.lit("un")).alias("language"), "topic", "tokens")
+    count = tokens.counter(tokens.build_lexicon(documents, "text"))
+    rows = subjects.leading(documents.select("doc_id", "lang", "text", "source"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"), ["source"], count)
     return mixing.plan(rows, table(spark, sf_dir, "mix_target"))
 
 

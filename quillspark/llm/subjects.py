@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.tokens import Slots, text_blocks
 from quillspark.session import Cut
 
 VOCABULARY = 30_000
@@ -37,76 +38,127 @@ ROUNDS, STEPS = 4, 6
 ALPHA, ETA = 0.05, 0.02
 COMMON = 0.3
 BLOCK = 128
+MEMO = 300_000
 TOP_TERMS = 30
 
 _HEADS = "references|bibliography|literature cited|literatur|literaturverzeichnis|références|bibliographie|referencias|bibliografía|список литературы|литература|参考文献|المراجع|संदर्भ|เอกสารอ้างอิง"
 _REFERENCES = re.compile(rf"^[ \t]*(?:#+[ \t]*|\\(?:section|subsection)\*?\{{)?(?:{_HEADS})\}}?:?[ \t]*$.*|\\begin\{{thebibliography\}}.*", re.I | re.M | re.S)
+_HEAD_WORDS = (*_HEADS.split("|"), "thebibliography")
 _NOISE = re.compile(r"^[ \t]*(?:#+[ \t].*|\[\d+\][ \t].*|\\(?:sub)*section\*?\{[^}]*\}[ \t]*)$|\\[a-zA-Z]+(?:\[[^\]]*\])?(?:\{[^{}]*\})?|<[^<>]{1,200}>|https?://\S+", re.M)
 _BROKEN = re.compile(r"(?<=\w)[-‐­]\r?\n\s*(?=\w)")
-_WORD = re.compile(r"[^\W\d_][^\s\d!-/:-@\[-`{-¿ -⁯、-〟！-／：-＠［-｀｛-･؛؟،।॥]*")
+_WORD = re.compile(r"[^\W\d_][^\s\d!-/:-@\[-`{-¿ -⁯、-〟！-／：-＠［-｀｛-･؛؟،।॥]+")
 _UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 
 
+def _prose(text: str) -> str:
+    """The prose of a text in lower case; the cheap tests only spare patterns that cannot match."""
+    if "-\n" in text or "-\r" in text or "\u2010" in text or "\xad" in text:
+        text = _BROKEN.sub("", text)
+    low = text.lower()
+    if any(head in low for head in _HEAD_WORDS):
+        text = _REFERENCES.sub(" ", text)
+        low = text.lower()
+    if "\\" in text or "<" in text or "#" in text or "[" in text or "://" in text:
+        low = _NOISE.sub(" ", text).lower()
+    return low
+
+
+def _terms(word: str) -> list[str]:
+    """The terms of a run of letters: itself, or in scripts without blanks its pairs of characters."""
+    if word.isascii() or not _UNSPACED.match(word):
+        return [word] if len(word) > 2 else []
+    return [word[i : i + 2] for i in range(len(word) - 1)]
+
+
 def words(text: str) -> list[str]:
-    """Lower-cased words of the prose of a text; scripts without blanks give pairs of characters."""
-    text = _BROKEN.sub("", text)
-    text = _NOISE.sub(" ", _REFERENCES.sub(" ", text)).lower()
-    out = []
-    for word in _WORD.findall(text):
-        if word.isascii():
-            if len(word) > 2:
-                out.append(word)
-        elif _UNSPACED.match(word):
-            out += [word[i : i + 2] for i in range(len(word) - 1)]
-        elif len(word) > 2:
-            out.append(word)
-    return out
+    """Terms of the prose of a text."""
+    return [term for word in _WORD.findall(_prose(text)) for term in _terms(word)]
 
 
-_BAG = "doc_id long, lang string, h array<int>, c array<int>, terms array<string>"
+_BAG = "doc_id long, lang string, h array<int>, c array<int>, terms array<string>, tokens long"
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(keep: list[str], counter) -> Iterator[pa.RecordBatch]:
     """Rows of documents, and rows without a doc_id that give the words behind the hashes."""
-    code: dict[str, int] = {}
-    for batch in batches:
-        ids, langs, hs, cs, terms = [], [], [], [], []
-        fresh: dict[str, int] = {}
-        for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-            count: dict[int, int] = {}
-            for word in words(text or ""):
-                h = code.get(word)
-                if h is None:
-                    h = code[word] = fresh[word] = zlib.crc32(word.encode()) - 2**31
-                count[h] = count.get(h, 0) + 1
-            ids.append(doc)
-            langs.append((lang or "").lower()[:2])
-            hs.append(list(count))
-            cs.append(list(count.values()))
-            terms.append(None)
-        if fresh:
-            ids.append(None)
-            langs.append(None)
-            hs.append(list(fresh.values()))
-            cs.append(None)
-            terms.append(list(fresh))
-        if len(code) > 500_000:
-            code.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(hs, pa.list_(pa.int32())), pa.array(cs, pa.list_(pa.int32())), pa.array(terms, pa.list_(pa.string()))], names=["doc_id", "lang", "h", "c", "terms"])
-
-
-def _csr(batch: pa.RecordBatch, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, word, count) of the words of a batch (doc_id, h, c) that the vocabulary holds, in row order."""
-    h, c = batch.column(1), batch.column(2)
-    offsets = np.asarray(h.offsets, np.int64)
-    values = np.asarray(h.values)[offsets[0] : offsets[-1]]
-    counts = np.asarray(c.values)[c.offsets[0].as_py() : c.offsets[-1].as_py()].astype(np.float32)
-    row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-    at = np.searchsorted(vocabulary, values)
-    at[at == len(vocabulary)] = 0
-    hit = vocabulary[at] == values
-    # repeated mentions tell less and less
-    return row[hit], at[hit], np.sqrt(counts[hit])
+
+    heads = ["doc_id", "lang", "h", "c", "terms", "tokens", *keep]
+    lists = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count_tokens = counter() if counter else None
+        slots, starts, sizes, pool = Slots(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        for batch in batches:
+            begin = 0
+            for texts in text_blocks(batch.column(2).to_pylist()):
+                n = len(texts)
+                part = batch.slice(begin, n)
+                begin += n
+                # every run of letters gets a number; a number stands for the hashes of the run's terms
+                flat: list[str] = []
+                marks = np.zeros(n + 1, np.int64)
+                for i, text in enumerate(texts):
+                    if text:
+                        flat += _WORD.findall(_prose(text))
+                    marks[i + 1] = len(flat)
+                index = np.fromiter(map(slots.__getitem__, flat), np.int64, len(flat))
+                fresh: dict[str, int] = {}
+                if slots.new:
+                    added = [[fresh.setdefault(t, zlib.crc32(t.encode())) for t in _terms(word)] for word in slots.new]
+                    slots.new = []
+                    size = np.fromiter(map(len, added), np.int64, len(added))
+                    starts = np.concatenate([starts, len(pool) + np.cumsum(size) - size])
+                    sizes = np.concatenate([sizes, size])
+                    pool = np.concatenate([pool, np.array([h for hs in added for h in hs], np.uint64)])
+                each = sizes[index]
+                ends = np.cumsum(each)
+                at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[index] - ends + each, each)
+                doc = np.repeat(np.repeat(np.arange(n, dtype=np.uint64), np.diff(marks)), each)
+                key, count = np.unique(doc << np.uint64(32) | pool[at], return_counts=True)
+                offsets = pa.array(np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(32)), pa.int32())
+                h = ((key & np.uint64(0xFFFFFFFF)).astype(np.int64) - 2**31).astype(np.int32)
+                langs = pa.array([(x or "").lower()[:2] for x in part.column(1).to_pylist()], pa.string())
+                tokens = pa.array(count_tokens(texts), pa.int64()) if count_tokens else pa.nulls(n, pa.int64())
+                columns = [part.column(0), langs, pa.ListArray.from_arrays(offsets, pa.array(h)), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32))), pa.nulls(n, pa.list_(pa.string())), tokens]
+                yield pa.RecordBatch.from_arrays([*columns, *part.columns[3:]], names=heads)
+                if fresh:
+                    rest = [pa.nulls(1, c.type) for c in part.columns[3:]]
+                    named = pa.array([[x - 2**31 for x in fresh.values()]], lists)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), named, pa.nulls(1, lists), pa.array([list(fresh)], pa.list_(pa.string())), pa.nulls(1, pa.int64()), *rest], names=heads)
+                if len(slots) > MEMO:
+                    slots, starts, sizes, pool = Slots(), starts[:0], sizes[:0], pool[:0]
+
+    return run
+
+
+def _held(vocabulary_b, keep: list[str]):
+    """Of the words of (doc_id, h, c, ...) those of the vocabulary, by their place in it, with the weight of their count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_b.value
+        for batch in batches:
+            h, c = batch.column(1), batch.column(2)
+            offsets = np.asarray(h.offsets, np.int64)
+            values = np.asarray(h.values)[offsets[0] : offsets[-1]]
+            counts = np.asarray(c.values)[c.offsets[0].as_py() : c.offsets[-1].as_py()]
+            at = np.searchsorted(vocabulary, values)
+            at[at == len(vocabulary)] = 0
+            hit = vocabulary[at] == values
+            before = np.concatenate([[0], np.cumsum(hit)])[offsets - offsets[0]]
+            ends = pa.array(before, pa.int32())
+            # repeated mentions tell less and less
+            weight = np.sqrt(counts[hit]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(at[hit].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weight)), *batch.columns[3:]], names=["doc_id", "w", "c", *keep])
+
+    return run
+
+
+def _csr(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, weight) of a batch (doc_id, w, c), in row order."""
+    w, c = batch.column(1), batch.column(2)
+    offsets = np.asarray(w.offsets, np.int64)
+    word = np.asarray(w.values)[offsets[0] : offsets[-1]]
+    weight = np.asarray(c.values)[c.offsets[0].as_py() : c.offsets[-1].as_py()]
+    return np.repeat(np.arange(batch.num_rows), np.diff(offsets)), word, weight
 
 
 def infer(row: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, topics: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +186,18 @@ def infer(row: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, topics:
     return theta, share
 
 
-def _expected(vocabulary_b, topics_b):
+def _expected(topics_b):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, topics = vocabulary_b.value, topics_b.value
+        topics = topics_b.value
         total = np.zeros(topics.shape, np.float64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, word, count = _csr(batch, vocabulary)
+            row, word, count = _csr(batch)
             _, share = infer(row, word, count, batch.num_rows, topics)
             for k in range(topics.shape[1]):
-                total[:, k] += np.bincount(word, share[:, k], len(vocabulary))
-        for begin in range(0, len(vocabulary), 2048):
+                total[:, k] += np.bincount(word, share[:, k], len(topics))
+        for begin in range(0, len(topics), 2048):
             yield pa.RecordBatch.from_arrays([pa.array([begin // 2048], pa.int32()), pa.array([total[begin : begin + 2048].astype(np.float32).tobytes()], pa.binary())], names=["part", "counts"])
 
     return run
@@ -159,15 +211,15 @@ def _sum_parts(table: pa.Table) -> pa.Table:
     return pa.table({"part": table["part"].slice(0, 1), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def _shares(vocabulary_b, topics_b, owner: np.ndarray, n_subjects: int):
+def _shares(topics_b, owner: np.ndarray, n_subjects: int, keep: list[str]):
     """Each document's share of every subject among its subject matter, and the amount of that matter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, topics = vocabulary_b.value, topics_b.value
+        topics = topics_b.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            row, word, count = _csr(batch, vocabulary)
+            row, word, count = _csr(batch)
             theta, _ = infer(row, word, count, batch.num_rows, topics, STEPS * 2)
             theta = np.maximum(theta - ALPHA, 0)
             by = np.zeros((batch.num_rows, n_subjects), np.float32)
@@ -177,7 +229,7 @@ def _shares(vocabulary_b, topics_b, owner: np.ndarray, n_subjects: int):
             matter = by.sum(1)
             by /= np.maximum(matter, 1e-9)[:, None]
             offsets = pa.array(np.arange(batch.num_rows + 1) * n_subjects, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matter), pa.ListArray.from_arrays(offsets, pa.array(by.ravel()))], names=["doc_id", "matter", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(matter), pa.ListArray.from_arrays(offsets, pa.array(by.ravel())), *batch.columns[3:]], names=["doc_id", "matter", "shares", *keep])
 
     return run
 
@@ -185,8 +237,8 @@ def _shares(vocabulary_b, topics_b, owner: np.ndarray, n_subjects: int):
 class SubjectModel:
     """Fitted topics with their subjects."""
 
-    def __init__(self, subjects, vocabulary, terms, topics, owner):
-        self.subjects, self.vocabulary, self.terms, self.topics, self.owner = subjects, vocabulary, terms, topics, owner
+    def __init__(self, subjects, terms, topics, owner, entries):
+        self.subjects, self.terms, self.topics, self.owner, self.entries = subjects, terms, topics, owner, entries
 
     def top_terms(self, most: int = 10) -> list[tuple[str | None, list[str]]]:
         weight = _distinctive(self.topics)
@@ -199,12 +251,19 @@ def _distinctive(topics: np.ndarray) -> np.ndarray:
     return topics * np.log(np.maximum(topics, 1e-12) / np.maximum(mean, 1e-12))
 
 
-def bags(documents: DataFrame, cut: Cut) -> DataFrame:
-    return cut(documents.select(F.col("doc_id").cast("long"), "lang", F.col("text").cast("string")).mapInArrow(_bags, _BAG))
+def bags(documents: DataFrame, cut: Cut, keep: list[str] | None = None, counter=None) -> DataFrame:
+    """The word counts of all documents, with the columns ``keep``; ``counter`` makes a function that counts the tokens of a list of texts."""
+    keep = keep or []
+    slim = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"), *keep)
+    schema = ", ".join([_BAG, *(f"`{c}` {t}" for c, t in documents.select(*keep).dtypes)])
+    return cut(slim.mapInArrow(_bags(keep, counter), schema))
+
 
+def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: list[str] | None = None, seed: int = 7) -> SubjectModel:
+    """Topics of the bags of all documents; ``labels`` has doc_id and subject, ``areas`` subject and description.
 
-def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 7) -> SubjectModel:
-    """Topics of the bags of all documents; ``labels`` has doc_id and subject, ``areas`` subject and description."""
+    The model also holds the documents' entries (doc_id, w, c) with the columns ``keep`` of the bags.
+    """
     spark = table.sparkSession
     described = {r.subject: set(words(r.description or "")) for r in areas.filter("subject is not null").orderBy("subject").limit(1000).collect()}
     subjects = sorted(described)
@@ -217,8 +276,13 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 7) ->
     frequency = frequency.groupBy("h").agg(F.sum("df").alias("df"), F.max_by(F.col("df") / F.col("n"), "df").alias("ratio"))
     kept = frequency.filter((F.col("df") >= max(3, n // 5000)) & (F.coalesce("ratio", F.lit(0)) <= COMMON)).orderBy(F.desc("df"), "h").limit(VOCABULARY)
     vocabulary = np.sort(np.array([r.h for r in kept.select("h").collect()], np.int32))
+    keep = keep or []
+    schema = ", ".join(["doc_id long, w array<int>, c array<float>", *(f"`{c}` {t}" for c, t in table.select(*keep).dtypes)])
+    k = len(subjects) + FREE_TOPICS
     if not len(vocabulary) or not subjects:
-        return SubjectModel(subjects, vocabulary, [], np.zeros((len(vocabulary), len(subjects) + FREE_TOPICS), np.float32), np.full(len(subjects) + FREE_TOPICS, -1))
+        empty = docs.select("doc_id", F.array().cast("array<int>").alias("w"), F.array().cast("array<float>").alias("c"), *keep)
+        return SubjectModel(subjects, [], np.full((max(len(vocabulary), 1), k), ETA, np.float32), np.full(k, -1), empty)
+    entries = cut(docs.select("doc_id", "h", "c", *keep).mapInArrow(_held(spark.sparkContext.broadcast(vocabulary), keep), schema))
     at = {h: i for i, h in enumerate(vocabulary.tolist())}
     held = spark.createDataFrame([(h,) for h in at], "h int")
     names = table.filter("doc_id is null").select(F.explode(F.arrays_zip("h", "terms")).alias("x")).select("x.h", F.col("x.terms").alias("term"))
@@ -239,17 +303,14 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 7) ->
     # a word says much of a subject if its labelled documents agree; the rest of its weight is noise
     agree = (seeds + 0.1) / (seeds + 0.1).sum(1, keepdims=True)
     prior = seeds * np.maximum(agree - 0.15, 0) ** 2
-    k = len(subjects) + FREE_TOPICS
     rng = np.random.default_rng(seed)
     topics = np.full((len(vocabulary), k), ETA)
     topics[:, : len(subjects)] += prior
     topics[:, len(subjects) :] += rng.gamma(1.0, 0.3, (len(vocabulary), FREE_TOPICS)) * (seeds.sum(1, keepdims=True) + 1)
     topics = (topics / topics.sum(0)).astype(np.float32)
-    entries = docs.select("doc_id", "h", "c")
-    vocabulary_b = spark.sparkContext.broadcast(vocabulary)
     for _ in range(ROUNDS):
         topics_b = spark.sparkContext.broadcast(topics)
-        parts = entries.mapInArrow(_expected(vocabulary_b, topics_b), "part int, counts binary").groupBy("part").applyInArrow(_sum_parts, "part int, counts binary").collect()
+        parts = entries.select("doc_id", "w", "c").mapInArrow(_expected(topics_b), "part int, counts binary").groupBy("part").applyInArrow(_sum_parts, "part int, counts binary").collect()
         counts = np.concatenate([np.frombuffer(p.counts, np.float32).reshape(-1, k) for p in sorted(parts, key=lambda p: p.part)]).astype(np.float64)
         counts += ETA
         counts[:, : len(subjects)] += prior * 5
@@ -263,14 +324,15 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, seed: int = 7) ->
         votes = (agree[top] * (seeds[top].sum(1, keepdims=True) > 0)).mean(0)
         if votes.max() > 0.35:
             owner[t] = int(votes.argmax())
-    return SubjectModel(subjects, vocabulary, terms, topics, owner)
+    return SubjectModel(subjects, terms, topics, owner, entries)
 
 
-def shares(table: DataFrame, model: SubjectModel) -> DataFrame:
-    """(doc_id, matter, shares) of all documents."""
-    context = table.sparkSession.sparkContext
-    run = _shares(context.broadcast(model.vocabulary), context.broadcast(model.topics), model.owner, len(model.subjects))
-    return table.filter("doc_id is not null").select("doc_id", "h", "c").mapInArrow(run, "doc_id long, matter float, shares array<float>")
+def shares(model: SubjectModel, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, matter, shares) of all documents, with the columns ``keep``."""
+    keep = keep or []
+    run = _shares(model.entries.sparkSession.sparkContext.broadcast(model.topics), model.owner, len(model.subjects), keep)
+    schema = ", ".join(["doc_id long, matter float, shares array<float>", *(f"`{c}` {t}" for c, t in model.entries.select(*keep).dtypes)])
+    return model.entries.select("doc_id", "w", "c", *keep).mapInArrow(run, schema)
 
 
 def threshold(shared: DataFrame, labels: DataFrame, subjects: list[str], least: float = 0.15, most: float = 0.4) -> float:
@@ -294,11 +356,11 @@ def threshold(shared: DataFrame, labels: DataFrame, subjects: list[str], least:
 def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame, matter: float = 2.0) -> tuple[DataFrame, SubjectModel, float]:
     """(doc_id, subject, share) of every subject a document deals with."""
     cut = Cut(documents.sparkSession)
-    table = bags(documents.filter("doc_id is not null"), cut)
-    model = fit(table, labels, areas)
+    table = bags(documents, cut)
+    model = fit(table, labels, areas, cut)
     if not len(model.subjects):
         return table.select("doc_id", F.lit("").alias("subject"), F.lit(0.0).cast("float").alias("share")).limit(0), model, 0.25
-    shared = cut(shares(table, model))
+    shared = cut(shares(model))
     level = threshold(shared, labels, model.subjects)
     names = F.array(*[F.lit(s) for s in model.subjects])
     one = shared.groupBy("doc_id").agg(F.max_by("shares", "matter").alias("shares"), F.max("matter").alias("matter"))
@@ -306,12 +368,11 @@ def assign(documents: DataFrame, labels: DataFrame, areas: DataFrame, matter: fl
     return found.select("doc_id", "x.subject", "x.share").filter(F.col("share") >= level), model, level
 
 
-def leading(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
-    """(doc_id, topic): the subject with the greatest share of each document, '' where it has none."""
-    cut = Cut(documents.sparkSession)
-    table = bags(documents.filter("doc_id is not null"), cut)
-    model = fit(table, labels, areas)
+def leading(documents: DataFrame, labels: DataFrame, areas: DataFrame, keep: list[str], counter=None) -> DataFrame:
+    """(doc_id, topic, language, tokens, keep...): the subject with the greatest share of each document, '' where it has none."""
+    cut, keep = Cut(documents.sparkSession), ["lang", "tokens", *keep]
+    model = fit(bags(documents, cut, keep[2:], counter), labels, areas, cut, keep)
     names = F.array(*[F.lit(s) for s in [*model.subjects, ""]])
     best = F.array_position("shares", F.array_max("shares")).cast("int")
     topic = F.when((F.col("matter") > 0) & (best > 0), F.get(names, best - 1)).otherwise("")
-    return shares(table, model).groupBy("doc_id").agg(F.max_by("shares", "matter").alias("shares"), F.max("matter").alias("matter")).select("doc_id", topic.alias("topic"))
+    return shares(model, keep).select("doc_id", topic.alias("topic"), F.col("lang").alias("language"), *keep[1:])
