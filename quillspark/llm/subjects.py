@@ -1,7 +1,7 @@
 """Subject areas of documents from distributed latent Dirichlet topics.
 
 One pass turns each text's prose into hashed word counts.  The vocabulary leaves out words
-too rare to matter and words that most documents of their language share.  Topics are
+too rare to matter and words that many documents of their language share whatever their subject.  Topics are
 fitted on all documents by rounds of variational inference: each partition infers its
 documents' topic proportions against the broadcast topics and returns expected counts,
 which are summed in the cluster.  Topics start from the word counts of labelled documents
@@ -274,8 +274,24 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
     n = docs.count()
     frequency = by_lang.join(F.broadcast(sizes.orderBy(F.desc("n")).limit(500)), "lang", "left")
     frequency = frequency.groupBy("h").agg(F.sum("df").alias("df"), F.max_by(F.col("df") / F.col("n"), "df").alias("ratio"))
-    kept = frequency.filter((F.col("df") >= max(3, n // 5000)) & (F.coalesce("ratio", F.lit(0)) <= COMMON)).orderBy(F.desc("df"), "h").limit(VOCABULARY)
-    vocabulary = np.sort(np.array([r.h for r in kept.select("h").collect()], np.int32))
+    kept = frequency.filter(F.col("df") >= max(3, n // 5000)).select("h", "df", F.coalesce("ratio", F.lit(0)).alias("ratio")).orderBy(F.desc("df"), "h").limit(VOCABULARY)
+    found = sorted((r.h, r.ratio) for r in kept.select("h", "ratio").collect())
+    vocabulary, ratio = np.array([h for h, _ in found], np.int32), np.array([r for _, r in found])
+    at = {h: i for i, h in enumerate(vocabulary.tolist())}
+    held = spark.createDataFrame([(h,) for h in at], "h int")
+    # words of labelled documents; a document with two labels counts half for each
+    clean = labels.select("doc_id", "subject").filter(F.col("subject").isin(subjects)).distinct()
+    weight = clean.groupBy("doc_id").agg(F.collect_list("subject").alias("ss")).join(docs.select("doc_id", "h"), "doc_id")
+    weight = weight.select(F.explode("h").alias("h"), "ss").join(F.broadcast(held), "h", "left_semi").select("h", F.explode("ss").alias("subject"), (1 / F.size("ss")).alias("w"))
+    seeds = np.zeros((len(vocabulary), len(subjects)))
+    for r in weight.groupBy("h", "subject").agg(F.sum("w").alias("w")).collect():
+        seeds[at[r.h], subjects.index(r.subject)] += r.w
+    # words that most documents of their language share are left out, unless labelled documents tie them to one subject
+    share = (seeds.sum(0) + 1) / (seeds.sum() + len(subjects))
+    tied = ((seeds + share) / (seeds.sum(1, keepdims=True) + 1) >= 0.5 + 0.5 * share).any(1) & (seeds.sum(1) >= 5) if subjects else np.zeros(0, bool)
+    use = (ratio <= COMMON) | tied if subjects else ratio <= COMMON
+    vocabulary, seeds = vocabulary[use], seeds[use]
+    at = {h: i for i, h in enumerate(vocabulary.tolist())}
     keep = keep or []
     schema = ", ".join(["doc_id long, w array<int>, c array<float>", *(f"`{c}` {t}" for c, t in table.select(*keep).dtypes)])
     k = len(subjects) + FREE_TOPICS
@@ -283,19 +299,11 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
         empty = docs.select("doc_id", F.array().cast("array<int>").alias("w"), F.array().cast("array<float>").alias("c"), *keep)
         return SubjectModel(subjects, [], np.full((max(len(vocabulary), 1), k), ETA, np.float32), np.full(k, -1), empty)
     entries = cut(docs.select("doc_id", "h", "c", *keep).mapInArrow(_held(spark.sparkContext.broadcast(vocabulary), keep), schema))
-    at = {h: i for i, h in enumerate(vocabulary.tolist())}
     held = spark.createDataFrame([(h,) for h in at], "h int")
     names = table.filter("doc_id is null").select(F.explode(F.arrays_zip("h", "terms")).alias("x")).select("x.h", F.col("x.terms").alias("term"))
     terms = [""] * len(vocabulary)
     for r in names.join(F.broadcast(held), "h", "left_semi").groupBy("h").agg(F.min("term").alias("term")).collect():
         terms[at[r.h]] = r.term
-    # words of labelled documents; a document with two labels counts half for each
-    clean = labels.select("doc_id", "subject").filter(F.col("subject").isin(subjects)).distinct()
-    weight = clean.groupBy("doc_id").agg(F.collect_list("subject").alias("ss")).join(docs.select("doc_id", "h"), "doc_id")
-    weight = weight.select(F.explode("h").alias("h"), "ss").join(F.broadcast(held), "h", "left_semi").select("h", F.explode("ss").alias("subject"), (1 / F.size("ss")).alias("w"))
-    seeds = np.zeros((len(vocabulary), len(subjects)))
-    for r in weight.groupBy("h", "subject").agg(F.sum("w").alias("w")).collect():
-        seeds[at[r.h], subjects.index(r.subject)] += r.w
     for s, subject in enumerate(subjects):
         for word in described[subject]:
             if (i := at.get(zlib.crc32(word.encode()) - 2**31)) is not None:
@@ -306,7 +314,8 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
     rng = np.random.default_rng(seed)
     topics = np.full((len(vocabulary), k), ETA)
     topics[:, : len(subjects)] += prior
-    topics[:, len(subjects) :] += rng.gamma(1.0, 0.3, (len(vocabulary), FREE_TOPICS)) * (seeds.sum(1, keepdims=True) + 1)
+    # free topics begin with the words that no subject claims
+    topics[:, len(subjects) :] += rng.gamma(1.0, 0.3, (len(vocabulary), FREE_TOPICS)) * (seeds.sum(1, keepdims=True) + 1) * (1 - agree.max(1, keepdims=True)) ** 2
     topics = (topics / topics.sum(0)).astype(np.float32)
     for _ in range(ROUNDS):
         topics_b = spark.sparkContext.broadcast(topics)
@@ -321,9 +330,12 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
     owner = np.full(k, -1)
     for t in range(k):
         top = np.argsort(-weight[:, t])[:TOP_TERMS]
-        votes = (agree[top] * (seeds[top].sum(1, keepdims=True) > 0)).mean(0)
-        if votes.max() > 0.35:
-            owner[t] = int(votes.argmax())
+        power = np.maximum(weight[top, t], 0)
+        votes = (agree[top] * (seeds[top].sum(1, keepdims=True) > 0) * power[:, None]).sum(0) / max(power.sum(), 1e-12)
+        best = int(votes.argmax())
+        # a subject names a topic if it has clearly more of the top terms' weight than its share of the labels
+        if votes[best] > share[best] + 0.25 * (1 - share[best]):
+            owner[t] = best
     return SubjectModel(subjects, terms, topics, owner, entries)
 
 
