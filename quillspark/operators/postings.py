@@ -64,16 +64,19 @@ def document_frequency(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def posting_lists(rows: DataFrame, key: str) -> DataFrame:
-    """(term, ids): the sorted ids of each term's documents."""
-    return rows.groupBy("term").agg(F.array_sort(F.collect_set(key)).alias("ids"))
+LIST_BUCKET = 1 << 16
+
+
+def posting_lists(rows: DataFrame, key: str, bucket: int = LIST_BUCKET) -> DataFrame:
+    """(term, bucket, ids): the sorted ids of each term's documents, a list for each range of ids, so that no list grows with the collection."""
+    return rows.groupBy("term", F.floor(F.col(key) / bucket).alias("bucket")).agg(F.array_sort(F.collect_set(key)).alias("ids"))
 
 
 def merge_lists(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Posting lists of both sides, united by term."""
-    joined = old.withColumnRenamed("ids", "a").join(new.withColumnRenamed("ids", "b"), "term", "full")
+    """Posting lists of both sides, united by term and bucket."""
+    joined = old.withColumnRenamed("ids", "a").join(new.withColumnRenamed("ids", "b"), ["term", "bucket"], "full")
     empty = F.array().cast(dict(old.dtypes)["ids"])
-    return joined.select("term", F.array_sort(F.array_union(F.coalesce("a", empty), F.coalesce("b", empty))).alias("ids"))
+    return joined.select("term", "bucket", F.array_sort(F.array_union(F.coalesce("a", empty), F.coalesce("b", empty))).alias("ids"))
 
 
 def bitmaps(rows: DataFrame, key: str) -> DataFrame:

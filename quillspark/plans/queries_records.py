@@ -56,10 +56,13 @@ def left_join_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def abstract_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank abstracts are filled with the paper's paragraphs."""
-    body = _paragraphs(spark, sf_dir).filter("text is not null").groupBy("collection", "id_int").agg(F.array_sort(F.collect_list(F.struct("paragraph_no", "para_id", "text"))).alias("ps"))
-    joined = _paper(spark, sf_dir).select("collection", "id_int", "abstract").join(body, ["collection", "id_int"], "left")
+    paper = _paper(spark, sf_dir).select("collection", "id_int", "abstract")
+    blank = F.trim(F.coalesce("abstract", F.lit(""))) == ""
+    # only paragraphs of papers that need them are read further
+    body = _paragraphs(spark, sf_dir).filter("text is not null").join(paper.filter(blank).select("collection", "id_int"), ["collection", "id_int"], "left_semi")
+    body = body.groupBy("collection", "id_int").agg(F.array_sort(F.collect_list(F.struct("paragraph_no", "para_id", "text"))).alias("ps"))
     parts = F.transform(F.coalesce("ps", F.array()), lambda p: p.text)
-    return joined.select("id_int", F.md5(lookup.fill_blank(F.col("abstract"), parts)).alias("hash"))
+    return paper.join(body, ["collection", "id_int"], "left").select("id_int", F.md5(lookup.fill_blank(F.col("abstract"), parts)).alias("hash"))
 
 
 def anti_join_new_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,8 @@ def posting_lists_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = postings.postings(_paper(spark, sf_dir), ["id_int", "collection"], T.unigrams(T.index_words(_text())))
     old = postings.posting_lists(rows.filter("collection = 'S2ORC'"), "id_int")
     new = postings.posting_lists(rows.filter("collection is null or collection <> 'S2ORC'"), "id_int")
-    return postings.merge_lists(old, new).select("term", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    lists = postings.merge_lists(old, new).groupBy("term")
+    return lists.agg(F.sum(F.size("ids")).cast("int").alias("n"), F.min(F.get("ids", F.lit(0))).alias("first_id"), F.max(F.element_at("ids", -1)).alias("last_id"))
 
 
 def bitmap_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
