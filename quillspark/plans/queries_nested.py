@@ -60,4 +60,31 @@ QUERIES = {
     "p5_sentences": _level(3),
     "p5_spans": _level(4),
 }
-SQL: dict[str, str] = {}
+
+
+def _list_sql(v: str, bare: bool = False) -> str:
+    """The elements of a JSON value where a list is expected."""
+    inner = f"try_cast({v} ->> '$' AS JSON)"
+    text = f"WHEN json_type({v}) = 'VARCHAR' THEN [{v}] " if bare else ""
+    return (
+        f"CASE WHEN json_type({v}) = 'ARRAY' THEN {v} -> '$[*]' WHEN json_type({v}) = 'OBJECT' THEN [{v}] "
+        f"WHEN json_type({v}) = 'VARCHAR' AND json_type({inner}) = 'ARRAY' THEN {inner} -> '$[*]' WHEN json_type({v}) = 'VARCHAR' AND json_type({inner}) = 'OBJECT' THEN [{inner}] {text}ELSE [] END"
+    )
+
+
+def _level_sql(name: str, parent: str, field: str, kinds: str, bare: bool = False) -> str:
+    step = f"SELECT id_int, content_part, node_path AS up, {_list_sql("v", bare)} AS l FROM (SELECT id_int, content_part, node_path, v -> '{field}' AS v FROM {parent})"
+    rows = f"SELECT id_int, content_part, up, unnest(l) AS v, unnest(range(len(l))) AS i FROM ({step})"
+    return f"{name} AS (SELECT id_int, content_part, CASE WHEN up = '' THEN '' ELSE up || '.' END || i AS node_path, v FROM ({rows}) WHERE json_type(v) IN ({kinds}))"
+
+
+_FOUND = (
+    """WITH newest AS (SELECT id_int, try_cast(arg_max(coalesce(parsed_content, ''), last_update_unixtime) AS JSON) AS d FROM paper_store GROUP BY id_int),
+    top AS (SELECT id_int, 'abstract' AS content_part, '' AS node_path, json_object('f', d -> '$.Abstract_Parsed') AS v FROM newest WHERE json_type(d) = 'OBJECT'
+            UNION ALL SELECT id_int, 'fullbody', '', json_object('f', d -> '$.Fullbody_Parsed') FROM newest WHERE json_type(d) = 'OBJECT'), """
+    + ", ".join([_level_sql("section", "top", "$.f", "'OBJECT'"), _level_sql("paragraph", "section", "$.section_text", "'OBJECT'"), _level_sql("sentence", "paragraph", "$.paragraph_text", "'OBJECT', 'VARCHAR'", True), _level_sql("span", "(SELECT * FROM sentence WHERE json_type(v) = 'OBJECT')", "$.cite_spans", "'OBJECT'")])
+    + " "
+    + " UNION ALL ".join(f"SELECT id_int, content_part, '{name}' AS node_level, node_path FROM {name}" for name in ("section", "paragraph", "sentence", "span"))
+)
+
+SQL: dict[str, str] = {"p5_found": _FOUND}
