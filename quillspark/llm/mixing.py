@@ -13,7 +13,8 @@ hash of its id.  The cut-off of that last use is shifted for each source, by a h
 hashes, until the source's sampled tokens meet its target, so that sizes of single
 documents do not disturb the shares.
 
-Bounds: cells and histograms depend on the numbers of sources, languages and topics only.
+Bounds: cells and histograms depend on the numbers of target sources, languages and topics
+only; of languages and of topics beyond the 200 largest the rest are raked as one.
 
 Defined results: sources without a target, null sources and documents without tokens are not
 used; the share of a target source without records is spread over the others; a repeated
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quillspark.session import Cut
 
 BINS = 4096
-CELLS = 200_000
+CATEGORIES = 200
 
 
 def rake(sizes: np.ndarray, source: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, cap: np.ndarray, rounds: int = 200, close: float = 1e-9) -> np.ndarray:
@@ -81,11 +82,16 @@ def plan(documents: DataFrame, targets: DataFrame, total: float | None = None) -
     spark = documents.sparkSession
     cut = Cut(spark)
     wanted = targets.filter("source is not null and target_share > 0").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeat").alias("cap"))
-    wish = sorted(wanted.limit(100_000).collect(), key=lambda r: r.source)
+    wish = sorted(wanted.collect(), key=lambda r: r.source)
     names = [r.source for r in wish]
     one = documents.filter(F.col("source").isin(names) & (F.col("tokens") > 0)).groupBy("doc_id").agg(F.max(F.struct("tokens", "source", "language", "topic")).alias("x"))
     base = cut(one.select("doc_id", "x.source", F.coalesce("x.language", F.lit("")).alias("language"), F.coalesce("x.topic", F.lit("")).alias("topic"), "x.tokens"))
-    cells = base.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens")).orderBy("source", "language", "topic").limit(CELLS).collect()
+    # so that the number of cells is bounded, categories beyond the largest ones are raked as one
+    for column in ("language", "topic"):
+        large = base.groupBy(column).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), column).limit(CATEGORIES + 1).collect()
+        if len(large) > CATEGORIES:
+            base = base.withColumn(column, F.when(F.col(column).isin(*[r[column] for r in large[:CATEGORIES]]), F.col(column)).otherwise("(other)"))
+    cells = base.groupBy("source", "language", "topic").agg(F.sum("tokens").alias("tokens")).orderBy("source", "language", "topic").collect()
     have = {n: 0.0 for n in names}
     for c in cells:
         have[c.source] += c.tokens

@@ -216,7 +216,7 @@ def _merge(profiles: DataFrame, members: DataFrame, edges: DataFrame, cut: Cut)
     root = F.coalesce("root", "pid")
     moved = profiles.join(roots.withColumnRenamed("id", "pid"), "pid", "left").withColumn("pid", root)
     merged = moved.groupBy("pid").agg(F.array_distinct(F.flatten(F.collect_list("insts"))).alias("insts"), F.array_distinct(F.flatten(F.collect_list("forms"))).alias("forms"))
-    placed = members.join(roots.withColumnRenamed("id", "pid"), "pid", "left").select("id", root.alias("pid"))
+    placed = members.join(roots.withColumnRenamed("id", "pid"), "pid", "left").select("spelling", root.alias("pid"))
     return cut(merged), cut(placed)
 
 
@@ -225,8 +225,10 @@ def resolve(rows: DataFrame, most_rounds: int = 8) -> DataFrame:
     cut = Cut(rows.sparkSession)
     normal = cut(rows.filter("id is not null").select("id", "given", "family", "place").mapInArrow(_normal, "id long, inst string, form string"))
     named = normal.filter("form <> '|'")
-    first = cut(named.groupBy("inst", "form").agg(F.min("id").alias("pid"), F.collect_list("id").alias("ids")))
-    members = first.filter("inst <> ''").select(F.explode("ids").alias("id"), "pid")
+    first = cut(named.groupBy("inst", "form").agg(F.min("id").alias("pid")))
+    # rows of one spelling are never gathered: each keeps the number of its spelling
+    spelled = cut(named.join(first, ["inst", "form"]).select("id", "pid"))
+    members = first.filter("inst <> ''").select(F.col("pid").alias("spelling"), "pid")
     profiles = first.filter("inst <> ''").select("pid", F.array("inst").alias("insts"), F.array("form").alias("forms"))
     for _ in range(most_rounds):
         edges = cut(_edges_of(profiles, cut))
@@ -244,11 +246,16 @@ def resolve(rows: DataFrame, most_rounds: int = 8) -> DataFrame:
             if chosen.isEmpty():
                 break
         profiles, members = _merge(profiles, members, chosen, cut)
-    return _without_place(first, profiles, members, normal, cut)
+    placed = cut(members.unionByName(_without_place(first, profiles)))
+    known = spelled.withColumnRenamed("pid", "spelling").join(placed, "spelling").select("id", "pid")
+    rest = normal.filter("form = '|'").select("id", F.col("id").alias("pid"))
+    everyone = cut(known.unionByName(rest))
+    least = everyone.groupBy("pid").agg(F.min("id").alias("person"))
+    return everyone.join(least, "pid").select("id", "person").distinct()
 
 
-def _without_place(first: DataFrame, profiles: DataFrame, members: DataFrame, normal: DataFrame, cut: Cut) -> DataFrame:
-    """Adds the spellings without an institution."""
+def _without_place(first: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(spelling, pid) of the spellings without an institution."""
     loose = first.filter("inst = ''")
     split = F.split("form", r"\|")
     family = F.regexp_replace(split[1], " ", "")
@@ -264,20 +271,17 @@ def _without_place(first: DataFrame, profiles: DataFrame, members: DataFrame, no
     lookup = only.unionByName(initial)
     # spellings of one name without a place count as one person unless people of that name are known at several places
     turned = F.concat(split[1], F.lit("|"), split[0])
-    both = loose.select("form", "pid", "ids", F.lit(0).alias("turn")).unionByName(loose.select(turned.alias("form"), "pid", "ids", F.lit(1).alias("turn")))
+    both = loose.select("form", "pid", F.lit(0).alias("turn")).unionByName(loose.select(turned.alias("form"), "pid", F.lit(1).alias("turn")))
     # a spelling in reversed order counts only where the name as given is not known
     hits = names_of(both).join(lookup, ["family", "lead"], "left_semi").groupBy("pid").agg(F.min("turn").alias("use"))
     both = both.join(hits, "pid", "left").filter("turn = coalesce(use, 0)")
-    free = names_of(both.select("form", "pid", "ids"))
+    free = names_of(both.select("form", "pid"))
     same = free.groupBy("family", "lead").agg(F.min("pid").alias("near"))
     joined = free.join(same, ["family", "lead"]).join(lookup, ["family", "lead"], "left")
     person = F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("low").isNull() & (F.length("lead") > 1), F.col("near")).otherwise(F.col("pid"))
-    attached = joined.select(F.explode("ids").alias("id"), person.alias("pid"))
-    known = cut(members.unionByName(attached))
-    rest = normal.select("id").join(known, "id", "left_anti").select("id", F.col("id").alias("pid"))
-    everyone = known.unionByName(rest)
-    least = everyone.groupBy("pid").agg(F.min("id").alias("person"))
-    return everyone.join(least, "pid").select("id", "person")
+    attached = joined.select(F.col("pid").alias("spelling"), person.alias("pid"))
+    alone = loose.select(F.col("pid").alias("spelling"), "pid").join(attached, "spelling", "left_anti")
+    return attached.unionByName(alone)
 
 
 def pairs(resolved: DataFrame) -> DataFrame:

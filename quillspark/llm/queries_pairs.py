@@ -69,4 +69,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_persons": p6_persons, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_links": p3_links}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """WITH sets AS (SELECT id_int, list_distinct(regexp_extract_all(lower(concat_ws(' ', title, abstract)), '[\\p{L}\\p{N}]+')) AS s FROM paper WHERE length(trim(abstract)) > 0),
+        word AS (SELECT id_int, unnest(s) AS w FROM sets),
+        common AS (SELECT a.id_int AS id_int_a, b.id_int AS id_int_b, count(*) AS n FROM word a JOIN word b ON a.w = b.w AND a.id_int < b.id_int GROUP BY 1, 2)
+        SELECT id_int_a, id_int_b FROM common JOIN sets x ON x.id_int = id_int_a JOIN sets y ON y.id_int = id_int_b WHERE n >= 0.7 * (len(x.s) + len(y.s) - n) - 1e-9""",
+}

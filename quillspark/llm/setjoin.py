@@ -230,9 +230,11 @@ def similar_sets(rows: DataFrame, threshold: float, trees: int = 5, seed: int =
     """
     cut = Cut(rows.sparkSession)
     full = rows.filter(F.col("id").isNotNull() & (F.size("set") > 0))
-    keyed = full.select("id", "set", F.xxhash64("set").alias("h1"), F.hash("set").alias("h2"))
-    members = cut(keyed.groupBy("h1", "h2").agg(F.collect_list("id").alias("ids"), F.min("id").alias("rep"), F.first("set").alias("set")))
-    sets = members.select(F.col("rep").alias("id"), "set")
+    keyed = cut(full.select("id", "set", F.xxhash64("set").alias("h1"), F.hash("set").alias("h2")))
+    # rows of a class are never gathered: the class has its least id, and each row finds it by the hashes
+    classes = cut(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("set").alias("set")))
+    members = cut(keyed.select("id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("id", "rep"))
+    sets = classes.select(F.col("rep").alias("id"), "set")
     pairs = candidates(sets, threshold, trees, seed, cut)
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
@@ -240,7 +242,7 @@ def similar_sets(rows: DataFrame, threshold: float, trees: int = 5, seed: int =
     joined = pairs.join(left, "a").join(right, "b").withColumn("both", both)
     similarity = F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))
     links = joined.withColumn("similarity", similarity).filter(F.col("both") >= F.lit(threshold) * (F.size("sa") + F.size("sb") - F.col("both")) - F.lit(1e-9)).select("a", "b", "similarity")
-    return members.select(F.explode("ids").alias("id"), "rep"), cut(links)
+    return members, cut(links)
 
 
 def word_set(*texts: str) -> F.Column:

@@ -80,3 +80,11 @@ def test_mixture_reaches_its_shares(spark):
     assert all(r.m <= caps[r.source] for r in sample.groupBy("source").agg(F.max("copies").alias("m")).collect())
     assert sample.count() == sample.select("doc_id").distinct().count()
     assert mixing.plan(docs.limit(0), goals)[0].count() == 0
+
+
+def test_many_languages_are_all_used(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CATEGORIES", 3)
+    rows = [(i, "a" if i % 2 else "b", f"l{i % 9}", "t", 50) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, language string, topic string, tokens long")
+    sample, report = mixing.plan(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeat int"))
+    assert sample.count() == 400 and sample.select("language").distinct().count() == 4
