@@ -239,3 +239,26 @@ def normal_doi(doi: Column) -> Column:
     """The bare, lower-cased DOI in a text, '' if there is none."""
     decoded = F.replace(F.lower(doi), F.lit("%2f"), F.lit("/"))
     return F.coalesce(F.regexp_replace(F.regexp_extract(decoded, r"(10\.\d{4,9}/\S+)", 1), r"[.,;]+$", ""), F.lit(""))
+
+
+_ACCENTED = "àáâãäåāăąçćčďđèéêëēęěğìíîïīįıłļľñńňòóôõöøōőŕřśşšťţùúûüūůűųýÿźżž"
+_PLAIN = "aaaaaaaaacccddeeeeeeegiiiiiiilllnnnoooooooorrsssttuuuuuuuuyyzzz"
+
+
+def ascii_text(text: Column) -> Column:
+    """Latin letters without their accents; other characters beyond ASCII are left out."""
+    ligatures = text
+    for raw, plain in (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE")):
+        ligatures = F.replace(ligatures, F.lit(raw), F.lit(plain))
+    return F.regexp_replace(F.translate(ligatures, _ACCENTED + _ACCENTED.replace("ı", "").upper(), _PLAIN + _PLAIN[: _ACCENTED.index("ı")].upper() + _PLAIN[_ACCENTED.index("ı") + 1 :].upper()), r"[^\x00-\x7F]", "")
+
+
+_MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+
+
+def two_digits(value: Column) -> Column:
+    """A month's name or number, or a day's number, as two digits; '' for anything else."""
+    number = value.try_cast("int")
+    named = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.substring(F.lower(F.trim(value)), 1, 3)).cast("int")
+    code = F.when(number.isNotNull(), number).otherwise(F.nullif(named, F.lit(0)))
+    return F.coalesce(F.when(code.between(1, 31), F.lpad(code.cast("string"), 2, "0")), F.lit(""))

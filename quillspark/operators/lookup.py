@@ -66,6 +66,13 @@ def new_records(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return incoming.join(known.select(key).distinct(), key, "left_anti")
 
 
+def new_files(batch: DataFrame, known: DataFrame) -> DataFrame:
+    """Files of a batch (pos, uploader, md5, ...) once per content, the first of each, without those the uploader has given before."""
+    rest = [c for c in batch.columns if c != "md5"]
+    first = batch.groupBy("md5").agg(F.min_by(F.struct(*rest), "pos").alias("_r")).select("md5", "_r.*")
+    return first.join(known.select("md5", "uploader").distinct(), ["md5", "uploader"], "left_anti")
+
+
 # ------------------------------------------------------------------ duplicate keys
 
 KEY_ORDER = ("doi", "title", "head_tail")

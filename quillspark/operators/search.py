@@ -74,3 +74,24 @@ def resolve_titles(titles: DataFrame, papers: DataFrame, ident: str, title: str,
     left = titles.select(asked, T.title_key(title).alias("_k")).filter("_k <> ''")
     right = papers.select(ident, T.title_key("title").alias("_k")).filter("_k <> ''")
     return left.join(right, "_k").select(asked, ident)
+
+
+def search_titles(titles: DataFrame, papers: DataFrame, asked: str, ident: str, rare: int = 50, least: float = 90.0) -> DataFrame:
+    """(asked, ident, found_by) for every asked title: papers of the same letters, else the likeliest paper if it is alike.
+
+    ``titles`` has asked, title and family (of an author, or null); ``papers`` ident, title
+    and families.  A title without an equal one is tried against papers that share one of its
+    rarer words and, if a family name is given, name it; the one that shares most words is
+    verified by the ratio of titles.
+    """
+    same = resolve_titles(titles, papers, ident, "title", asked).withColumn("found_by", F.lit("title"))
+    open_ = titles.join(same.select(asked).distinct(), asked, "left_anti")
+    words = lambda df, key: df.select(key, F.explode(T.unigrams(T.index_words(F.coalesce("title", F.lit(""))))).alias("w"))
+    held = words(papers, ident)
+    few = held.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") <= rare).select("w")
+    met = words(open_, asked).join(held.join(few, "w", "left_semi"), "w").groupBy(asked, ident).agg(F.count("*").alias("shared"))
+    full = met.join(open_.select(asked, F.lower("title").alias("_a"), F.lower("family").alias("_f")), asked).join(papers.select(ident, F.lower("title").alias("_b"), F.transform("families", lambda f: F.lower(f)).alias("_fs")), ident)
+    named = F.col("_f").isNull() | (F.trim("_f") == "") | F.array_contains("_fs", F.col("_f"))
+    best = Window.partitionBy(asked).orderBy(F.desc("shared"), ident)
+    first = full.filter(named).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
+    return same.select(asked, ident, "found_by").unionByName(first.filter(T.alike(F.col("_a"), F.col("_b"), least)).select(asked, ident, F.lit("search").alias("found_by")))

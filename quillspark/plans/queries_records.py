@@ -124,6 +124,23 @@ def title_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.resolve_titles(asked, _paper(spark, sf_dir).select("id_int", F.coalesce("title", F.lit("")).alias("title")), "id_int", "asked_title", "meta_id")
 
 
+def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers for the titles of meta records, by equal letters or by search and verification."""
+    meta = table(spark, sf_dir, "meta_record").select("meta_id", "title", F.try_element_at("authors", F.lit(1))["last"].alias("family"))
+    paper = _paper(spark, sf_dir).select("id_int", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("author.familyname", F.array()).alias("families"))
+    return search.search_titles(meta.withColumn("title", F.coalesce("title", F.lit(""))), paper, "meta_id", "id_int")
+
+
+def new_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored contents by their hash, once each, that no other parser gave before."""
+    rows = table(spark, sf_dir, "paper_store").select(F.md5(F.coalesce("parsed_content", F.lit(""))).alias("md5"), F.col("parser_tag").alias("uploader"), F.struct("last_update_unixtime", "id_int").alias("pos"), "id_int")
+    return lookup.new_files(rows, rows.filter("uploader = ''")).select("md5", "uploader", "id_int")
+
+
+def ascii_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "author_name").select("name_id", T.ascii_text(F.coalesce("familyname", F.lit(""))).alias("plain"))
+
+
 def sections_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _paragraphs(spark, sf_dir).select("collection", "id_int", "para_id", "paragraph_no", "section_title")
     built = sections.build_sections(rows, ["collection", "id_int"], [F.col("paragraph_no"), F.col("para_id")], "section_title")
@@ -263,7 +280,7 @@ _FIRST_AUTHOR = "concat_ws(' ', author[1].givenname, author[1].familyname)"
 
 QUERIES = {f.__name__: f for f in (
     projection_nested, json_props_projection, multi_get_ordered, left_join_first_match, abstract_fill, anti_join_new_docs, upsert_merge, append_with_ids, row_counts,
-    dup_keys, dup_key_cascade, exact_dup_groups, dedup_first, version_dedup, title_resolve, sections_islands, span_gap_fill, span_non_overlap, citation_edges,
+    dup_keys, dup_key_cascade, exact_dup_groups, dedup_first, version_dedup, title_resolve, title_search, new_versions, ascii_names, sections_islands, span_gap_fill, span_non_overlap, citation_edges,
     sentence_split, sentence_merge, highlight_spans, near_match, fuzzy_titles, summary_top_sentences, lexical_rerank, cite_mla, cite_bibtex, cite_card, reference_texts,
     author_abbrev, md5_base64, doi_urls, affiliations, venue_join,
 )}
@@ -287,6 +304,7 @@ SQL = {
     "dedup_first": f"SELECT min(id_int) AS id_int FROM (SELECT id_int, k || '|' || {_ABBREV} AS key FROM (SELECT id_int, {_key_sql("coalesce(title, '')")} AS k, {_parts(_FIRST_AUTHOR)} AS p FROM paper)) GROUP BY key",
     "version_dedup": "SELECT collection, id_int, arg_max(parser_tag, last_update_unixtime) AS parser_tag, max(last_update_unixtime) AS last_update_unixtime FROM paper_store GROUP BY collection, id_int",
     "title_resolve": f"WITH a AS (SELECT meta_id, {_key_sql("coalesce(title, '')")} AS k FROM meta_record), b AS (SELECT id_int, {_key_sql("coalesce(title, '')")} AS k FROM paper) SELECT meta_id, id_int FROM a JOIN b USING (k) WHERE k <> ''",
+    "new_versions": "WITH r AS (SELECT md5(coalesce(parsed_content, '')) AS md5, parser_tag AS uploader, last_update_unixtime, id_int FROM paper_store), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY md5 ORDER BY last_update_unixtime, id_int) AS rn FROM r) WHERE rn = 1) SELECT md5, uploader, id_int FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.uploader = '' AND r.md5 = f.md5 AND r.uploader = f.uploader)",
     "sections_islands": f"""WITH first AS ({_FIRST}), named AS (SELECT collection, id_int, para_id, paragraph_no, coalesce(last_value(nullif(trim(section_title), '') IGNORE NULLS) OVER (PARTITION BY collection, id_int ORDER BY paragraph_no, para_id ROWS UNBOUNDED PRECEDING), '') AS section_name FROM first),
         started AS (SELECT *, CASE WHEN lag(section_name) OVER (PARTITION BY collection, id_int ORDER BY paragraph_no, para_id) <> section_name THEN 1 ELSE 0 END AS new FROM named),
         ids AS (SELECT *, CAST(sum(new) OVER (PARTITION BY collection, id_int ORDER BY paragraph_no, para_id ROWS UNBOUNDED PRECEDING) AS INT) AS section_id FROM started)

@@ -39,8 +39,10 @@ class Store:
     def exists(self, name: str) -> bool:
         return self.version(name) > 0
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/v{self.version(name):06d}")
+    def read(self, name: str, without: tuple[str, list] | None = None) -> DataFrame:
+        """The current version; ``without`` names a partition column and the values that are set aside, whose files are not read."""
+        df = self.spark.read.parquet(f"{self.root}/{name}/v{self.version(name):06d}")
+        return df.filter(~F.col(without[0]).isin(*without[1])) if without and without[1] else df
 
     def write(self, name: str, df: DataFrame, partition_by: str | None = None, files: int | None = None) -> int:
         """Writes a new version and makes it current; readers see the old one until then."""

@@ -132,3 +132,18 @@ def test_fallback_is_used_only_without_matches(spark):
     df = spark.createDataFrame([(1, ["author.fullname:john doe"]), (2, ["john doe"])], "id int, terms array<string>")
     assert [r.id for r in K.match_rows(df, "terms", K.parse("Author:John Doe")).collect()] == [1]
     assert [r.id for r in K.match_rows(df.filter("id = 2"), "terms", K.parse("Author:John Doe")).collect()] == [2]
+
+
+def test_plain_letters_and_two_digits(spark):
+    df = rows(spark, "Łódź Straße Ærø ÉÈ ñ 中", "", None)
+    assert [r[0] for r in df.orderBy("id").select(T.ascii_text(F.col("t"))).collect()] == ["Lodz Strasse AEro EE n ", "", None]
+    df = rows(spark, "March", "7", "12", "0", "xx", None)
+    assert [r[0] for r in df.orderBy("id").select(T.two_digits(F.col("t"))).collect()] == ["03", "07", "12", "", "", ""]
+
+
+def test_title_search_falls_back(spark):
+    from quillspark.operators import search
+
+    titles = spark.createDataFrame([(1, "Deep cells: a study", None), (2, "Quantum memroy leaks in practice", "Doe"), (3, "Quantum memory leaks in practise", "Roe"), (4, "", None)], "q int, title string, family string")
+    papers = spark.createDataFrame([(10, "deep CELLS a study", []), (20, "Quantum memory leaks in practice", ["Doe"])], "id int, title string, families array<string>")
+    assert {(r.q, r.id, r.found_by) for r in search.search_titles(titles, papers, "q", "id").collect()} == {(1, 10, "title"), (2, 20, "search")}
