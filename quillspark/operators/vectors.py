@@ -34,42 +34,62 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _best(k: int):
-    """The k best rows of a block for each query of a block; ties by the row's id."""
+def _best(k: int, group: bool = False):
+    """The k best rows of a block, or of each group in it, for each query of a block; ties by the row's id."""
+
+    def nearest(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, wanted: np.ndarray):
+        by_id = np.argsort(ids, kind="stable")
+        ids, rows = ids[by_id], rows[by_id]
+        for begin in range(0, len(queries), 256):
+            sim = np.round(wanted[begin : begin + 256] @ rows.T, 6)
+            take = min(k, len(ids))
+            kth = -np.partition(-sim, take - 1, axis=1)[:, take - 1 : take]
+            q, r = np.nonzero(sim >= kth)
+            s = sim[q, r]
+            # of the ties at the end only the least ids are kept
+            order = np.lexsort((ids[r], -s, q))
+            q, r, s = q[order], r[order], s[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = place < take
+            yield queries[begin + q[keep]], ids[r[keep]], s[keep]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, rows = np.asarray(left["id"], np.int64), _matrix(left["v"])
         queries, wanted = np.asarray(right["query_id"], np.int64), _matrix(right["v"])
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out, kinds = [], []
         if len(ids) and len(queries):
-            by_id = np.argsort(ids, kind="stable")
-            ids, rows = ids[by_id], rows[by_id]
-            for begin in range(0, len(queries), 256):
-                sim = np.round(wanted[begin : begin + 256] @ rows.T, 6)
-                take = min(k, len(ids))
-                kth = -np.partition(-sim, take - 1, axis=1)[:, take - 1 : take]
-                q, r = np.nonzero(sim >= kth)
-                out.append((queries[begin + q], ids[r], sim[q, r]))
+            names = left["g"].combine_chunks().dictionary_encode(null_encoding="encode") if group else None
+            parts = [(names.dictionary[c].as_py(), np.nonzero(np.asarray(names.indices) == c)[0]) for c in range(len(names.dictionary))] if group else [(None, slice(None))]
+            for kind, part in parts:
+                for found in nearest(ids[part], rows[part], queries, wanted):
+                    out.append(found)
+                    kinds += [kind] * len(found[0])
         q, i, s = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": q, "id": i, "similarity": s})
+        table = {"query_id": q, "id": i, "similarity": s}
+        if group:
+            table["g"] = pa.array(kinds, left["g"].type)
+        return pa.table(table)
 
     return run
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, similarity, rank) of the k rows nearest each query by inner product, rounded to 6 digits.
+def top_k(rows: DataFrame, queries: DataFrame, k: int, group: str | None = None) -> DataFrame:
+    """(query_id, id, similarity, rank) of the k rows nearest each query by inner product, rounded to 6 digits; with ``group`` the k rows of each group, with its column.
 
     Rows (id, v) and queries (query_id, v) are cut into blocks by hash; each pair of blocks is
-    one task of matrix products that keeps k rows a query, and only those are merged.
+    one task of matrix products that keeps k rows a query (and group), and only those are merged.
     """
     n, q = rows.count(), queries.count()
     rb, qb = max(1, n // BLOCK_ROWS), max(1, q // BLOCK_QUERIES)
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = rows.select(F.col("id").alias("id"), F.col("v").alias("v"), F.pmod(F.xxhash64("id"), F.lit(rb)).cast("int").alias("rb"), spread(qb).alias("qb"))
+    extra = [F.col(group).alias("g")] if group else []
+    left = rows.select(F.col("id").alias("id"), F.col("v").alias("v"), *extra, F.pmod(F.xxhash64("id"), F.lit(rb)).cast("int").alias("rb"), spread(qb).alias("qb"))
     right = queries.select(F.col("query_id").alias("query_id"), F.col("v").alias("v"), F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("qb"), spread(rb).alias("rb"))
-    near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(_best(k), "query_id long, id long, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    schema = "query_id long, id long, similarity double" + (f", g {dict(rows.dtypes)[group]}" if group else "")
+    near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(_best(k, group is not None), schema)
+    order = Window.partitionBy("query_id", *(["g"] if group else [])).orderBy(F.desc("similarity"), "id")
+    best = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.withColumnRenamed("g", group) if group else best
 
 
 def quantise(v: Column, scale: float | Column, bits: int) -> Column:

@@ -96,9 +96,7 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest vectors of each label for every query."""
     rows, asked = _embeddings(spark, sf_dir)
-    near = vectors.top_k(rows, asked, 10**9)
-    best = Window.partitionBy("query_id", "label").orderBy(F.desc("similarity"), "id")
-    return near.drop("rank").join(rows.select("id", "label"), "id").withColumn("rank", F.row_number().over(best)).filter("rank <= 3")
+    return vectors.top_k(rows, asked, 3, "label")
 
 
 def quantised_int8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +123,7 @@ def hamming_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ann_ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = _embeddings(spark, sf_dir)
-    return vectors.InvertedFile(rows.select("id", "v"), 16).search(asked, 10, 8)
+    return vectors.InvertedFile(rows.select("id", "v"), 16).search(asked, 10, 11)
 
 
 def ann_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +136,7 @@ def ann_ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_max_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels ranked for every query by the best of their vectors, as papers are by their sections."""
     rows, asked = _embeddings(spark, sf_dir)
-    sections = vectors.top_k(rows, asked, 10**9).join(rows.select("id", "label"), "id").select("query_id", F.col("label").alias("id"), "similarity")
+    sections = vectors.top_k(rows, asked, 1, "label").select("query_id", F.col("label").alias("id"), "similarity")
     return search.section_rerank(sections)
 
 
