@@ -151,7 +151,7 @@ def _heading(text: str, begin: int, stop: int, after: int) -> bool:
     """Whether text[begin:stop], a whole line without an end mark, is a heading before text[after:]."""
     line = text[begin:stop].strip()
     words = line.split()
-    if not words or len(words) > 8 or line[-1] in ",;:，、；：-–" or not _starts(text, after):
+    if not words or len(words) > 8 or line[-1] in ",;:，、；：-–" or line[-1] in ENDS or not _starts(text, after):
         return False
     if _caseless(text[after]) or _caseless(line[-1]) or not line[-1].isascii() and not (line[-1].islower() or line[-1].isupper()):
         return True
