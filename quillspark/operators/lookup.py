@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.session import Cut
 
 
 def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[Column]) -> DataFrame:
@@ -49,16 +50,17 @@ def append_with_ids(old: DataFrame, new: DataFrame, key: str, order: list[Column
     Ranks come from range-sorted partitions and their offsets, not from one global window.
     """
     spark = old.sparkSession
-    most = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("most"))
-    ranged = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = sorted((r["_p"], r["n"]) for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect())
+    most = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("most")).first()["most"]
+    within = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
+    # written once: the bounds of the ranges are sampled, and a second evaluation could draw others
+    ranged = Cut(spark)(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", within))
     offsets, total = [], 0
-    for part, n in sizes:
-        offsets.append((part, total))
-        total += n
+    for r in sorted(ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()):
+        offsets.append((r["_p"], total))
+        total += r["n"]
     starts = spark.createDataFrame(offsets or [(0, 0)], "_p int, _start long")
-    placed = ranged.join(F.broadcast(starts), "_p").crossJoin(F.broadcast(most))
-    return old.unionByName(placed.select((F.col("most") + F.col("_start") + F.col("_i") + 1).alias(key), *[c for c in new.columns if c != key]))
+    placed = ranged.join(F.broadcast(starts), "_p")
+    return old.unionByName(placed.select((F.lit(most) + F.col("_start") + F.col("_i") + 1).alias(key), *[c for c in new.columns if c != key]))
 
 
 def new_records(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:

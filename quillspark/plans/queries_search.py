@@ -101,8 +101,8 @@ def vector_topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantised_int8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = _embeddings(spark, sf_dir)
-    scale = vectors.scale_of(rows, "v")
-    coded = rows.crossJoin(F.broadcast(scale)).select("id", vectors.quantise(F.col("v"), F.col("scale"), 8).alias("v"))
+    scale = vectors.scale_of(rows, "v").first()["scale"]
+    coded = rows.select("id", vectors.quantise(F.col("v"), F.lit(scale), 8).alias("v"))
     return vectors.top_k(coded, coded.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "v"), 10)
 
 
@@ -117,8 +117,9 @@ def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hamming_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal signs of each vector and the first one, by the bit form."""
     rows, _ = _embeddings(spark, sf_dir)
-    first = rows.filter("id = 0").select(vectors.sign_words(F.col("v")).alias("q"))
-    return rows.crossJoin(F.broadcast(first)).select("id", vectors.hamming_similarity(vectors.sign_words(F.col("v")), F.col("q"), 64).alias("equal_signs"))
+    first = rows.filter("id = 0").select(vectors.sign_words(F.col("v")).alias("q")).first()["q"]
+    asked = F.array(*[F.lit(w).cast("long") for w in first])
+    return rows.select("id", vectors.hamming_similarity(vectors.sign_words(F.col("v")), asked, 64).alias("equal_signs"))
 
 
 def ann_ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
