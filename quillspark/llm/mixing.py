@@ -24,7 +24,7 @@ doc_id is used as one document; no document is used more often than its source's
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.session import Cut
@@ -139,7 +139,8 @@ def plan(documents: DataFrame, targets: DataFrame, total: float | None = None) -
 def _report(spark, sample: DataFrame, wish: list, have: dict[str, float]) -> DataFrame:
     goals = spark.createDataFrame([(r.source, float(r.share), int(r.cap or 0), int(have[r.source])) for r in wish], "source string, target_share double, max_repeat int, available_tokens long")
     reached = sample.groupBy("source").agg(F.count("*").alias("documents"), F.sum("copies").alias("uses"), F.max("copies").alias("most_uses"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
-    joined = F.broadcast(goals).join(reached, "source", "left")
-    whole = reached.agg(F.sum("tokens").alias("whole"))
+    # one row a target source, so the window over all of them is small
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "uses", "most_uses", "tokens")]
-    return joined.crossJoin(F.broadcast(whole)).select("source", "target_share", "max_repeat", "available_tokens", *zero, F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("reached_share"))
+    joined = goals.join(reached, "source", "left")
+    return joined.select("source", "target_share", "max_repeat", "available_tokens", *zero, F.coalesce(F.col("tokens") / whole, F.lit(0.0)).alias("reached_share"))
