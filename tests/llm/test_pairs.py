@@ -136,3 +136,12 @@ def test_linkage_of_works_and_follow_ups(spark):
     got = {(r.id_l, r.id_r) for r in linkage.link(works(spark, left), works(spark, right)).collect()}
     assert len(got & want) / len(want) > 0.95 and len(got - want) <= 2
     assert linkage.link(works(spark, left).limit(0), works(spark, right)).count() == 0
+
+
+def test_large_blocks_keep_pairs_without_common_names(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK_PAIRS", 20)
+    cut = Cut(spark)
+    left = cut(linkage.records(works(spark, [(i, f"Word{i}l other{i}l", [] if i % 2 else [("Jo", f"Left{i}x")], 2000, None, "10.5555/same", None) for i in range(12)])))
+    right = cut(linkage.records(works(spark, [(i, f"Term{i}r thing{i}r", [("Al", f"Right{i}x")] if i % 3 else [], 2000, None, "10.5555/same", None) for i in range(9)])))
+    got = [(r.id_l, r.id_r) for r in linkage.candidates(left, right, cut).collect()]
+    assert len(got) == len(set(got)) == 12 * 9
