@@ -145,3 +145,15 @@ def test_large_blocks_keep_pairs_without_common_names(spark, monkeypatch):
     right = cut(linkage.records(works(spark, [(i, f"Term{i}r thing{i}r", [("Al", f"Right{i}x")] if i % 3 else [], 2000, None, "10.5555/same", None) for i in range(9)])))
     got = [(r.id_l, r.id_r) for r in linkage.candidates(left, right, cut).collect()]
     assert len(got) == len(set(got)) == 12 * 9
+
+
+def test_candidates_do_not_depend_on_rare_words(spark):
+    common = "How the aquatic mutation shapes the comparison of the bacterial strain and the leaf"
+    who = [("Jo", "Onex")]
+    fill = [(100 + i, common + f" of Place{i}", [("Al", f"Fill{i}x")], 1950, None, None, None) for i in range(60)]
+    text = " ".join(f"word{i}" for i in range(30))
+    left = [(1, common + " in Rareplace", [], 2000, None, None, None), (2, "Aquatic mutations in the laek of Otherplace", who, 2001, None, None, None), (3, "Wholly other words", [], None, None, None, text), (4, None, who, 1980, None, None, None)]
+    right = [(1, "How the aquatic mutation shapes the comparison of the bacte...", [], 1990, None, None, None), (2, "Aquatic mutations in the lake", [("Ed", "Misspelt")], 2002, None, None, None), (3, "Nothing in common here", [("Di", "Threex")], 1999, None, None, "A " + text[:120]), (4, "Some title of it", who, 1981, None, None, None)]
+    cut = Cut(spark)
+    got = {(r.id_l, r.id_r) for r in linkage.candidates(cut(linkage.records(works(spark, left + fill))), cut(linkage.records(works(spark, right))), cut).collect()}
+    assert got >= {(i, i) for i in (1, 2, 3, 4)}
