@@ -9,6 +9,8 @@ spelling, such as one with initials only, joins if all profiles it fits agree wi
 The rounds end when nothing merges.
 
 Spellings without an institution join the only person of that name, if there is only one.
+Where the name is not known they join the only person whose name is near by the same
+comparison, or else the spellings without an institution that agree with them in full.
 
 Defined results: rows with a null id are left out; a row without any name stays alone;
 repeated rows fall into one profile.
@@ -246,7 +248,7 @@ def resolve(rows: DataFrame, most_rounds: int = 8) -> DataFrame:
             if chosen.isEmpty():
                 break
         profiles, members = _merge(profiles, members, chosen, cut)
-    placed = cut(members.unionByName(_without_place(first, profiles)))
+    placed = cut(members.unionByName(_without_place(first, profiles, cut)))
     known = spelled.withColumnRenamed("pid", "spelling").join(placed, "spelling").select("id", "pid")
     rest = normal.filter("form = '|'").select("id", F.col("id").alias("pid"))
     everyone = cut(known.unionByName(rest))
@@ -254,7 +256,7 @@ def resolve(rows: DataFrame, most_rounds: int = 8) -> DataFrame:
     return everyone.join(least, "pid").select("id", "person").distinct()
 
 
-def _without_place(first: DataFrame, profiles: DataFrame) -> DataFrame:
+def _without_place(first: DataFrame, profiles: DataFrame, cut: Cut) -> DataFrame:
     """(spelling, pid) of the spellings without an institution."""
     loose = first.filter("inst = ''")
     split = F.split("form", r"\|")
@@ -281,7 +283,34 @@ def _without_place(first: DataFrame, profiles: DataFrame) -> DataFrame:
     person = F.when(F.col("low") == F.col("high"), F.col("low")).when(F.col("low").isNull() & (F.length("lead") > 1), F.col("near")).otherwise(F.col("pid"))
     attached = joined.select(F.col("pid").alias("spelling"), person.alias("pid"))
     alone = loose.select(F.col("pid").alias("spelling"), "pid").join(attached, "spelling", "left_anti")
-    return attached.unionByName(alone)
+    exact = attached.unionByName(alone)
+    return _near_without_place(loose, exact, joined.filter("low is not null").select(F.col("pid").alias("spelling")), profiles, cut)
+
+
+def _near_matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns))
+        yield _edges([(a, b, level) for a, fa, b, fb in rows if (level := compare(fa, fb)) > 0])
+
+
+def _near_without_place(loose: DataFrame, exact: DataFrame, settled: DataFrame, profiles: DataFrame, cut: Cut) -> DataFrame:
+    """``exact`` with the spellings of unknown names put to the only person whose name is near, or to one another."""
+    blank = F.array(F.lit(""))
+    exact = cut(exact)
+    rest = cut(loose.join(settled, F.col("pid") == F.col("spelling"), "left_anti").select("pid", blank.alias("insts"), F.array("form").alias("forms")))
+    keyed = lambda df: df.select("pid", "insts", "forms").mapInArrow(_keyed, f"key string, {PROFILE}").select("key", "pid")
+    met = keyed(rest).withColumnRenamed("pid", "a").join(keyed(profiles.withColumn("insts", blank)).withColumnRenamed("pid", "b"), "key").select("a", "b").distinct()
+    full = met.join(rest.select(F.col("pid").alias("a"), F.col("forms").alias("fa")), "a").join(profiles.select(F.col("pid").alias("b"), F.col("forms").alias("fb")), "b")
+    near = full.select("a", "fa", "b", "fb").mapInArrow(_near_matches, "a long, b long, level int")
+    fits = cut(near.groupBy(F.col("a").alias("spelling")).agg(F.min("b").alias("low"), F.max("b").alias("high")))
+    one = fits.filter("low = high").select("spelling", F.col("low").alias("person"))
+    # names near no known person: those that agree in full are one person
+    unknown = rest.join(fits, F.col("pid") == F.col("spelling"), "left_anti")
+    equal = exact.join(unknown.select(F.col("pid").alias("spelling")), "spelling").filter("spelling <> pid").select(F.col("spelling").alias("a"), F.col("pid").alias("b"))
+    agreed = _edges_of(unknown, cut).filter("level >= 3").select("a", "b").unionByName(equal)
+    roots = components(agreed, cut).select(F.col("id").alias("spelling"), F.col("root").alias("person"))
+    moved = one.unionByName(roots.join(one, "spelling", "left_anti"))
+    return exact.join(moved, "spelling", "left").select("spelling", F.coalesce("person", "pid").alias("pid"))
 
 
 def pairs(resolved: DataFrame) -> DataFrame:

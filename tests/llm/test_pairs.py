@@ -157,3 +157,12 @@ def test_candidates_do_not_depend_on_rare_words(spark):
     cut = Cut(spark)
     got = {(r.id_l, r.id_r) for r in linkage.candidates(cut(linkage.records(works(spark, left + fill))), cut(linkage.records(works(spark, right))), cut).collect()}
     assert got >= {(i, i) for i in (1, 2, 3, 4)}
+
+
+def test_near_spellings_without_place(spark):
+    rows = [
+        ("Anne-Marie", "Vaendettias", "University of Nowick"), ("Anne-Marie", "Vaendetias", None), ("Frederick", "al-Vottarnel", "University of Chilium"), ("Fred", "al-Vottarnel", None),
+        ("Samuel", "Hiardunis", None), ("Samuuel", "Hiardunis", None), ("Rosalind", "Hulare", "University of Fusoberg"), ("Rosalind", "Hulare", "University of Chilium"), ("Rosalind", "Hullare", None),
+    ]
+    got = {r.id: r.person for r in people.resolve(authors(spark, rows)).collect()}
+    assert got[0] == got[1] and got[2] == got[3] and got[4] == got[5] and len({got[6], got[7], got[8]}) == 3
