@@ -56,12 +56,16 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Cut:
-    """Tables written to the shared folder to cut lineage; dropped by ``drop`` or at exit."""
+    """Tables written to the shared folder to cut lineage.
+
+    Tables that are no longer read are dropped by ``release`` or ``only``, the others by ``drop`` or at exit.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[tuple[DataFrame, str]] = []
         atexit.register(self.drop)
 
     def __call__(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
@@ -70,14 +74,26 @@ class Cut:
         if partition_by:
             writer = writer.partitionBy(partition_by)
         writer.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((out, path))
+        return out
 
     def path(self) -> str:
         self.count += 1
         return f"{self.root}/{self.count}"
 
-    def release(self, df_path: str) -> None:
-        _delete(self.spark, df_path)
+    def release(self, *tables: DataFrame) -> None:
+        """Deletes tables that no plan to be run reads any more."""
+        for held, path in [t for t in self.tables if any(t[0] is x for x in tables)]:
+            _delete(self.spark, path)
+            self.tables.remove((held, path))
+
+    def only(self, *results: DataFrame) -> tuple[DataFrame, ...]:
+        """Writes the results and deletes every other table."""
+        kept = tuple(r if any(r is t for t, _ in self.tables) else self(r) for r in results)
+        self.release(*[t for t, _ in self.tables if not any(t is k for k in kept)])
+        return kept
 
     def drop(self) -> None:
         _delete(self.spark, self.root)
+        self.tables.clear()
