@@ -13,33 +13,21 @@ _LETTERS = str.maketrans({"ł": "l", "ø": "o", "đ": "d", "ð": "d", "ħ": "h",
 TITLES = frozenset("dr prof professor mr mrs ms miss sir dame rev hon phd md msc bsc dphil esq jr sr junior senior".split())
 # Words that lead a family name.
 PARTICLES = frozenset("van von der den de del della di da dos du la le al el ter ten zu zur af av bin ibn".split())
-# Short forms of given names and the names they stand for.
-NICKNAMES = """
-alex alexander alexandra|lex alexander|sandy alexander alexandra|sasha alexander alexandra|toni antonio antonia|tony antonio anthony|gus augustin august
-ben benjamin|benny benjamin|benji benjamin|chris christopher christina|kit christopher|topher christopher|dima dmitri|mitya dmitri|katya ekaterina|kate ekaterina katharina katherine
-katja katharina ekaterina|kathi katharina|kathy katharina|beth elisabeth elizabeth|liz elisabeth elizabeth|lisa elisabeth|betty elisabeth|elsa elisabeth|lisbeth elisabeth
-fred frederick alfred|freddy frederick|rick frederick richard|gabi gabriela gabriel|gaby gabriela|henri henrietta|hetty henrietta|etta henrietta|harriet henrietta
-iggy ignatius|nate ignatius|inga ines|johnny johannes john|hans johannes|hannes johannes|jo josephine johanna joseph johannes|josie josephine|jean johannes|fina josephine
-leo leonora leonard|nora leonora eleonora|lora leonora|margo margarethe|greta margarethe|gretel margarethe|maggie margarethe margaret|meg margarethe margaret|rita margarethe margarita|grete margarethe
-matt matthias matthew|matty matthias|hias matthias|mike michael|mick michael|micha michael|mischa michael|klaus nikolaus|nick nikolaus nicholas|niko nikolaus|nik nikolaus|claus nikolaus
-oli olivier oliver|ollie olivier oliver|penny penelope|nell penelope|pip philippa philip|pippa philippa|flip philippa|bob robert|rob robert|bert robert albert|robbie robert|bobby robert
-rosa rosalind|ros rosalind|roz rosalind|linda rosalind|rosie rosalind|sam samuel samantha|sammy samuel|sue susanna susan|susi susanna|suzy susanna|sanna susanna|anna susanna
-dora theodora|thea theodora|teddy theodora theodore|ted theodora theodore|tom tomas thomas|tommy tomas thomas|vic victoria victor|vicky victoria|tori victoria|vince vincent|vinny vincent
-fritz friedrich frederick|kati katharina|xander alexander|sandra alexandra|nico nikolaus|jules julius|lotte charlotte|heini heinrich|will william|bill william|billy william|willy william|liam william|zach zacharias|zack zacharias|zac zacharias|jan johannes|steve stephen stellan|stel stellan|bjorn bjarne|ravi ravindra
-jeanlu jeanluc|heinz karlheinz|karl karlheinz|anne annemarie|marie annemarie|lou adalou|ada adalou|mei meilin|emil emile|milou emile|lucy lucja|lucia lucja|zo zoe|hugh hugo|marty marta martin|tilda matilda
-"""
-_NICK: dict[str, frozenset[str]] = {}
-for _entry in NICKNAMES.replace("\n", "|").split("|"):
-    _short, *_long = _entry.split() or [""]
-    if _short:
-        _NICK[_short] = _NICK.get(_short, frozenset()) | frozenset(_long)
+_MARKS = re.compile(r"[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+
+
+def fold_text(text: str) -> str:
+    """Lower case, without accents; for texts of any length."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text.translate(_LETTERS))).translate(_LETTERS)
 
 
 @lru_cache(50_000)
 def fold(text: str) -> str:
     """Lower case, without accents."""
-    text = unicodedata.normalize("NFKD", text.lower().translate(_LETTERS))
-    return "".join(c for c in text if not unicodedata.combining(c)).translate(_LETTERS)
+    return fold_text(text)
 
 
 def plain(text: str) -> str:
@@ -90,7 +78,12 @@ def person(given: str | None, family: str | None) -> tuple[tuple[str, ...], tupl
     return tuple(givens), tuple(families)
 
 
-_INSTITUTION_WORDS = frozenset("university universitat universite universidad univ of the dept department institute inst for technology college school faculty".split())
+# Words for kinds of institutions and their parts, and small words beside them.
+_INSTITUTION_WORDS = frozenset(
+    "university universitat universite universidad universidade universita universiteit universitet univ college academy akademie academie school schule ecole escuela faculty fakultat faculte facultad "
+    "hochschule polytechnic politecnico institute institut instituto istituto inst department dept abteilung division centre center zentrum centro laboratory laboratoire labor laboratorio lab hospital klinik "
+    "hopital technology of the for and in at der die das fur und de la le du des di del della da do".split()
+)
 
 
 @lru_cache(50_000)
@@ -120,26 +113,60 @@ def near(a: str, b: str, least: int = 5) -> bool:
 
 
 @lru_cache(100_000)
-def long_names(a: str) -> frozenset[str]:
-    """The names a short form stands for, also if it holds a typing error."""
-    if a in _NICK or len(a) < 4 or len(a) > 7:
-        return _NICK.get(a, frozenset())
-    return frozenset().union(*(long for short, long in _NICK.items() if len(short) > 3 and short[0] == a[0] and near(short, a, 4)))
+def apart(a: str, b: str, most: int = 2) -> int:
+    """Edits and swaps of neighbours between two words, ``most`` + 1 if they are more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before: list[int] = []
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d = min(d, before[j - 2] + 1)
+            row.append(d)
+        if min(row) > most:
+            return most + 1
+        before, last = last, row
+    return min(last[-1], most + 1)
+
+
+ENDINGS = ("ie", "y", "i", "a")
 
 
 @lru_cache(100_000)
-def same_given(a: str, b: str) -> int:
-    """2 for one name in full, 1 for an initial of the other, 0 for different names."""
+def shortened(a: str, b: str) -> bool:
+    """Whether the shorter name is the head (three letters) or the tail (four) of the longer, perhaps with an ending of endearment."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < 3 or len(b) - len(a) < 2:
+        return False
+    if b.startswith(a) or len(a) > 3 and b.endswith(a):
+        return True
+    for ending in ENDINGS:
+        stem = a.removesuffix(ending) if a.endswith(ending) else ""
+        if len(stem) > 3 and stem[-1] == stem[-2]:
+            stem = stem[:-1]
+        if len(stem) > 2 and b.startswith(stem) or len(stem) > 3 and b.endswith(stem):
+            return True
+    return False
+
+
+@lru_cache(200_000)
+def same_given(a: str, b: str, la: frozenset[str] = frozenset(), lb: frozenset[str] = frozenset()) -> int:
+    """2 for one name in full, 1 for an initial or a shortening of the other, 0 for different names; ``la`` and ``lb`` are what a and b are known to be short for."""
     if a == b:
         return 2 if len(a) > 1 else 1
     if len(a) == 1 or len(b) == 1:
         if len(a) > 1:
-            a, b = b, a
-        return int(a == b[0] or any(n[0] == a for n in long_names(b)))
+            a, b, lb = b, a, la
+        return int(a == b[0] or any(n[0] == a for n in lb))
     if near(a, b, 4):
         return 2
-    la, lb = long_names(a), long_names(b)
-    return 2 if la & lb or any(near(n, b, 4) for n in la) or any(near(n, a, 4) for n in lb) else 0
+    if la & lb or any(near(n, b, 4) for n in la) or any(near(n, a, 4) for n in lb):
+        return 2
+    return int(shortened(a, b))
 
 
 def doi(text: str | None) -> str:

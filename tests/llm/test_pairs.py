@@ -78,7 +78,9 @@ def test_name_forms():
     assert names.person("Z.M.", "Doe1,2") == (("z", "m"), ("doe",))
     assert names.person(None, None) == ((), ())
     assert names.institution("Dept. of Law, Univ. of Bimuin Hollow") == names.institution("Universität Bimuin Hollow")
-    assert names.same_given("katya", "ekaterina") == 2 and names.same_given("e", "katya") == 1 and names.same_given("jan", "ines") == 0
+    assert names.same_given("katya", "ekaterina") == 0 and names.same_given("katya", "ekaterina", frozenset(["ekaterina"])) == 2
+    assert names.same_given("e", "katya", frozenset(), frozenset(["ekaterina"])) == 1 and names.same_given("jan", "ines") == 0 and names.same_given("ben", "benjamin") == names.same_given("penny", "penelope") == 1
+    assert names.apart("dkouova", "dokuovaa") == 2 and names.apart("abc", "xyz") == 3 and names.apart("ab", "ba") == 1
     assert names.near("senestosk", "seneseosk") and names.near("bya", "bay") is False and names.near("soeren", "soren")
     assert names.title("X and Y in Z (extended study)")[1] == "extended study" and names.title("X Y Z W: Patr II")[1] == "part ii"
     assert names.doi("https://doi.example/10.5555%2FAB.1.") == "10.5555/ab.1"
