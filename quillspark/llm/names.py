@@ -184,32 +184,13 @@ def venue(text: str | None) -> str:
     return " ".join(w[:4] for w in re.findall(r"[^\W\d_]+", fold(text)) if w not in _SMALL)
 
 
-# What marks a title as a follow-up of another.
-_FOLLOW = re.compile(
-    r"^(further notes on|more on|notes on|another look at|a second look at|beyond|addendum to|corrigendum to|erratum to|reply to|comment on)\b"
-    r"|\b(part (?:[ivx]+|\d+|one|two|three)|[ivx]{2,4}|\d{1,2}|extended (?:study|version|abstract|report)|revisited|continued|a follow up|follow up study|second study|an update|erratum|corrigendum)$"
-)
-# Words of these marks in which a typing error is put right, by position from the start and from the end.
-_LEADING = ("further", "notes")
-_TRAILING = ((2, ("part", "extended")), (1, ("study", "revisited")))
-
-
 @lru_cache(20_000)
-def title(text: str | None) -> tuple[str, str, bool]:
-    """(title without small words and follow-up marks, the marks, whether it was cut short)."""
+def title_words(text: str | None) -> tuple[tuple[str, ...], bool]:
+    """(words of a title, whether it was cut short)."""
     text = (text or "").strip().strip("[]* ")
-    cut = text.endswith(("...", "…"))
-    tokens = re.findall(r"[^\W_]+", fold(text))
-    for at, marked in [*enumerate(_LEADING), *((len(tokens) - k, w) for k, ws in _TRAILING for w in ws)]:
-        if 0 <= at < len(tokens) and near(tokens[at], marked, 4):
-            tokens[at] = marked
-    words = " ".join(tokens)
-    marks = []
-    while m := _FOLLOW.search(words):
-        rest = (words[: m.start()] + words[m.end() :]).strip()
-        if not rest:
-            break
-        marks.append(m.group().strip())
-        words = rest
-    core = [w for w in words.split() if w not in _SMALL]
-    return " ".join(core), "|".join(sorted(marks)), cut
+    return tuple(re.findall(r"[^\W_]+", fold(text))), text.endswith(("...", "…"))
+
+
+def core(words: tuple[str, ...]) -> str:
+    """The words of a title without small words."""
+    return " ".join(w for w in words if w not in _SMALL)
