@@ -33,8 +33,8 @@ BINS = 4096
 CATEGORIES = 200
 
 
-def rake(sizes: np.ndarray, source: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, cap: np.ndarray, rounds: int = 200, close: float = 1e-9) -> np.ndarray:
-    """Weights of cells.
+def rake(sizes: np.ndarray, source: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, cap: np.ndarray, rounds: int = 200, close: float = 1e-9) -> tuple[np.ndarray, bool]:
+    """Weights of cells, and whether they stay as they are within the rounds.
 
     ``sizes`` are the cells' tokens, ``source`` their source index; ``others`` are pairs of the
     cells' category index and the categories' target tokens; ``goal`` are the sources' target
@@ -64,8 +64,8 @@ def rake(sizes: np.ndarray, source: np.ndarray, others: list[tuple[np.ndarray, n
             weight = fit(weight, index, target)
         weight = fit(weight, source, goal)
         if np.abs(weight - before).max(initial=0) < close:
-            break
-    return weight
+            return weight, True
+    return weight, False
 
 
 def largest_total(sizes: np.ndarray, share: np.ndarray, cap: np.ndarray) -> float:
@@ -73,11 +73,13 @@ def largest_total(sizes: np.ndarray, share: np.ndarray, cap: np.ndarray) -> floa
     return float((sizes * cap / share).min()) if len(sizes) else 0.0
 
 
-def plan(documents: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(sample, report) for documents (doc_id, source, language, topic, tokens) and targets (source, target_share, max_repeat).
+def plan(documents: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sample, report, margins) for documents (doc_id, source, language, topic, tokens) and targets (source, target_share, max_repeat).
 
     The sample has doc_id, source, language, topic, tokens and copies, for copies above 0; the
-    report one row for each target source.
+    report one row for each target source; margins, for each source, language and topic,
+    the share aimed at, that of the raked weights and that of the sample, and whether the
+    weights converged.  Where caps keep a margin from its target, the raked share tells.
     """
     spark = documents.sparkSession
     cut = Cut(spark)
@@ -97,7 +99,8 @@ def plan(documents: DataFrame, targets: DataFrame, total: float | None = None) -
         have[c.source] += c.tokens
     live = [r for r in wish if have[r.source] > 0 and (r.cap or 0) > 0]
     if not live:
-        return base.withColumn("copies", F.lit(0)).limit(0), _report(spark, base.withColumn("copies", F.lit(0)).limit(0), wish, have)
+        none = base.withColumn("copies", F.lit(0)).limit(0)
+        return none, _report(spark, none, wish, have), spark.createDataFrame([], MARGINS)
     place = {r.source: i for i, r in enumerate(live)}
     share = np.array([r.share for r in live], float)
     share /= share.sum()
@@ -112,7 +115,7 @@ def plan(documents: DataFrame, targets: DataFrame, total: float | None = None) -
         kinds = {k: i for i, k in enumerate(sorted({c[column] for c in used}))}
         index = np.array([kinds[c[column]] for c in used])
         others.append((index, np.bincount(index, sizes, len(kinds)) / sizes.sum() * total))
-    weight = rake(sizes, source, others, share * total, cap)
+    weight, converged = rake(sizes, source, others, share * total, cap)
     table = spark.createDataFrame([(c.source, c.language, c.topic, float(w), float(cap[s])) for c, w, s in zip(used, weight, source)], "source string, language string, topic string, weight double, cap double")
     chance = (F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
     whole = F.floor(F.col("weight") + 1e-9)
@@ -133,7 +136,30 @@ def plan(documents: DataFrame, targets: DataFrame, total: float | None = None) -
     taken = drawn.join(F.broadcast(edge), "source")
     more = F.col("room") & (F.floor((F.col("rank") + 1) * (BINS / 2)).cast("int") < F.col("edge"))
     sample = taken.withColumn("copies", (F.col("whole") + F.when(more, 1).otherwise(0)).cast("int")).filter("copies > 0").select("doc_id", "source", "language", "topic", "tokens", "copies")
-    return sample, _report(spark, sample, wish, have)
+    goals = [("source", r.source, float(share[place[r.source]])) for r in live]
+    for column in ("language", "topic"):
+        kinds: dict[str, float] = {}
+        for c, n in zip(used, sizes):
+            kinds[c[column]] = kinds.get(c[column], 0.0) + n / sizes.sum()
+        goals += [(column, k, v) for k, v in sorted(kinds.items())]
+    raked: dict[tuple[str, str], float] = {}
+    for c, w, n in zip(used, weight, sizes):
+        for column in ("source", "language", "topic"):
+            raked[column, c[column]] = raked.get((column, c[column]), 0.0) + w * n
+    whole = max(float((weight * sizes).sum()), 1e-12)
+    aims = spark.createDataFrame([(m, k, float(v), float(raked.get((m, k), 0.0) / whole), converged) for m, k, v in goals], MARGINS.rsplit(", ", 1)[0])
+    return sample, _report(spark, sample, wish, have), _margins(sample, aims)
+
+
+MARGINS = "margin string, category string, target_share double, raked_share double, converged boolean, reached_share double"
+
+
+def _margins(sample: DataFrame, aims: DataFrame) -> DataFrame:
+    """The sample's share of each category beside its aims; categories are bounded, so the window over a margin is small."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("margin"), F.col(c).alias("category")) for c in ("source", "language", "topic")])).alias("m")
+    used = sample.select(each, (F.col("tokens") * F.col("copies")).alias("t")).groupBy("m.margin", "m.category").agg(F.sum("t").alias("t"))
+    reached = F.coalesce(F.col("t") / F.sum("t").over(Window.partitionBy("margin")), F.lit(0.0))
+    return aims.join(used, ["margin", "category"], "left").select("margin", "category", "target_share", "raked_share", "converged", reached.alias("reached_share"))
 
 
 def _report(spark, sample: DataFrame, wish: list, have: dict[str, float]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 One pass turns each text's prose into hashed word counts.  The vocabulary leaves out words
 too rare to matter and words that many documents of their language share whatever their subject.  Topics are
-fitted on all documents by rounds of variational inference: each partition infers its
-documents' topic proportions against the broadcast topics and returns expected counts,
-which are summed in the cluster.  Topics start from the word counts of labelled documents
-and of the subjects' descriptions, which also stay as prior counts; a few topics are free.
-Each topic's top terms are then inspected: the subject that these terms mostly belong to,
-if any, names the topic.  A document gets each subject whose topics hold at least a share
-of its subject matter; the share is chosen on the labelled documents.
+fitted on all documents by variational inference with Dirichlet expectations: in each round
+each partition infers its documents' topic proportions against the broadcast topics and
+returns expected counts, which are summed in the cluster, until the topics stay as they are.
+Topics start from the word counts of two thirds of the labelled documents, which also
+stay as prior counts; a few topics are free.  Each topic's top terms are then inspected: the
+subject that these terms mostly belong to in the subjects' descriptions and in the other third
+of the labelled documents, if any, names the topic.  A document gets each subject whose
+topics hold at least a share of its subject matter; the share is chosen on the labelled
+documents.
 
 Bounds: the vocabulary (at most ``VOCABULARY`` words) and the topics are the only data on
 the driver and in broadcasts; both are independent of the number of documents.
@@ -34,17 +36,21 @@ from quillspark.session import Cut
 
 VOCABULARY = 30_000
 FREE_TOPICS = 6
-ROUNDS, STEPS = 4, 6
+STEPS = 6
+STAYS, MOST_ROUNDS = 0.02, 60  # topics stay if no more than this part of their weight moves
 ALPHA, ETA = 0.05, 0.02
 COMMON = 0.3
 BLOCK = 128
 MEMO = 300_000
-TOP_TERMS = 30
+TOP_TERMS = 100
+MOST_SUBJECTS = 1_000  # topics are as many, so more raise an error
+LEAST_DF = 3
+FEW_LABELS = 24  # a subject with fewer labelled documents of a language keeps none of them back
 
 _HEADS = "references|bibliography|literature cited|literatur|literaturverzeichnis|références|bibliographie|referencias|bibliografía|список литературы|литература|参考文献|المراجع|संदर्भ|เอกสารอ้างอิง"
-_REFERENCES = re.compile(rf"^[ \t]*(?:#+[ \t]*|\\(?:section|subsection)\*?\{{)?(?:{_HEADS})\}}?:?[ \t]*$.*|\\begin\{{thebibliography\}}.*", re.I | re.M | re.S)
+_REFERENCES = re.compile(rf"(?:^[ \t]*(?:#+[ \t]*|\\(?:section|subsection)\*?\{{)?(?:{_HEADS})\}}?:?[ \t]*$|\\begin\{{thebibliography\}}).*?(?=^[ \t]*(?:#+[ \t]|\\(?:sub)*section\b|\\appendix\b)|\\end\{{thebibliography\}}|\Z)", re.I | re.M | re.S)
 _HEAD_WORDS = (*_HEADS.split("|"), "thebibliography")
-_NOISE = re.compile(r"^[ \t]*(?:#+[ \t].*|\[\d+\][ \t].*|\\(?:sub)*section\*?\{[^}]*\}[ \t]*)$|\\[a-zA-Z]+(?:\[[^\]]*\])?(?:\{[^{}]*\})?|<[^<>]{1,200}>|https?://\S+", re.M)
+_NOISE = re.compile(r"^[ \t]*(?:#+[ \t].*|\[\d+\][ \t].*|\\(?:sub)*section\*?\{[^}]*\}[ \t]*)$|\\[a-zA-Z]+(?:\[[^\]]*\])?(?:\{[^{}]*\})?|</?[a-zA-Z][^<>]*>|https?://\S+", re.M)
 _BROKEN = re.compile(r"(?<=\w)[-‐­]\r?\n\s*(?=\w)")
 _WORD = re.compile(r"[^\W\d_][^\s\d!-/:-@\[-`{-¿ -⁯、-〟！-／：-＠［-｀｛-･؛؟،।॥]+")
 _UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
@@ -161,8 +167,20 @@ def _csr(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(batch.num_rows), np.diff(offsets)), word, weight
 
 
+def exp_digamma(x: np.ndarray) -> np.ndarray:
+    """exp of the digamma function: three steps of its recurrence, then its asymptotic series."""
+    y = x + 3
+    z = 1 / (y * y)
+    return np.exp(np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252)) - 1 / x - 1 / (x + 1) - 1 / (x + 2))
+
+
+def expectation(counts: np.ndarray) -> np.ndarray:
+    """exp of the expected logarithms of topics with Dirichlet parameters ``counts`` (V, K)."""
+    return (exp_digamma(counts) / exp_digamma(counts.sum(0))).astype(np.float32)
+
+
 def infer(row: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, topics: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Topic weights of each document (n, K) and expected counts of each entry; ``topics`` is (V, K).
+    """Dirichlet parameters of each document's topics (n, K), 0 for one without words, and expected counts of each entry; ``topics`` is (V, K) of ``expectation``.
 
     Documents go in blocks whose arrays stay in the processor's cache.
     """
@@ -176,11 +194,12 @@ def infer(row: np.ndarray, word: np.ndarray, count: np.ndarray, n: int, topics:
         first = np.concatenate([[0], np.nonzero(np.diff(own))[0] + 1])
         place = np.repeat(np.arange(len(first)), np.diff(np.append(first, end - begin)))
         phi, amount = topics[word[begin:end]], count[begin:end]
-        weight = np.full((len(first), k), 1.0 / k, np.float32)
+        weight = ALPHA + np.repeat(np.add.reduceat(amount, first)[:, None] / k, k, 1)
         for _ in range(steps):
-            at = weight[place]
+            part = exp_digamma(weight).astype(np.float32)
+            at = part[place]
             scale = (amount / np.maximum(np.einsum("ij,ij->i", phi, at), 1e-30))[:, None]
-            weight = weight * np.add.reduceat(phi * scale, first, axis=0) + ALPHA
+            weight = part * np.add.reduceat(phi * scale, first, axis=0) + ALPHA
         share[begin:end] = phi * at * scale
         theta[own[first]] = weight
     return theta, share
@@ -235,10 +254,10 @@ def _shares(topics_b, owner: np.ndarray, n_subjects: int, keep: list[str]):
 
 
 class SubjectModel:
-    """Fitted topics with their subjects."""
+    """Fitted topics with their subjects; ``topics`` are their word probabilities, ``expected`` what documents are inferred against."""
 
-    def __init__(self, subjects, terms, topics, owner, entries):
-        self.subjects, self.terms, self.topics, self.owner, self.entries = subjects, terms, topics, owner, entries
+    def __init__(self, subjects, terms, topics, expected, owner, entries):
+        self.subjects, self.terms, self.topics, self.expected, self.owner, self.entries = subjects, terms, topics, expected, owner, entries
 
     def top_terms(self, most: int = 10) -> list[tuple[str | None, list[str]]]:
         weight = _distinctive(self.topics)
@@ -265,39 +284,47 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
     The model also holds the documents' entries (doc_id, w, c) with the columns ``keep`` of the bags.
     """
     spark = table.sparkSession
-    described = {r.subject: set(words(r.description or "")) for r in areas.filter("subject is not null").orderBy("subject").limit(1000).collect()}
+    listed = areas.filter("subject is not null").groupBy("subject").agg(F.max("description").alias("description")).limit(MOST_SUBJECTS + 1).collect()
+    if len(listed) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    described = {r.subject: set(words(r.description or "")) for r in listed}
     subjects = sorted(described)
     docs = table.filter("doc_id is not null")
     # document frequency of each word in all and in the language that uses it most
     by_lang = docs.select("lang", F.explode("h").alias("h")).groupBy("h", "lang").agg(F.count("*").alias("df"))
     sizes = docs.filter("size(h) > 0").groupBy("lang").agg(F.count("*").alias("n"))
-    n = docs.count()
-    frequency = by_lang.join(F.broadcast(sizes.orderBy(F.desc("n")).limit(500)), "lang", "left")
+    frequency = by_lang.join(sizes, "lang", "left")
     frequency = frequency.groupBy("h").agg(F.sum("df").alias("df"), F.max_by(F.col("df") / F.col("n"), "df").alias("ratio"))
-    kept = frequency.filter(F.col("df") >= max(3, n // 5000)).select("h", "df", F.coalesce("ratio", F.lit(0)).alias("ratio")).orderBy(F.desc("df"), "h").limit(VOCABULARY)
+    kept = frequency.filter(F.col("df") >= LEAST_DF).select("h", "df", F.coalesce("ratio", F.lit(0)).alias("ratio")).orderBy(F.desc("df"), "h").limit(VOCABULARY)
     found = sorted((r.h, r.ratio) for r in kept.select("h", "ratio").collect())
     vocabulary, ratio = np.array([h for h, _ in found], np.int32), np.array([r for _, r in found])
     at = {h: i for i, h in enumerate(vocabulary.tolist())}
     held = spark.createDataFrame([(h,) for h in at], "h int")
     # words of labelled documents; a document with two labels counts half for each
     clean = labels.select("doc_id", "subject").filter(F.col("subject").isin(subjects)).distinct()
-    weight = clean.groupBy("doc_id").agg(F.collect_list("subject").alias("ss")).join(docs.select("doc_id", "h"), "doc_id")
-    weight = weight.select(F.explode("h").alias("h"), "ss").join(F.broadcast(held), "h", "left_semi").select("h", F.explode("ss").alias("subject"), (1 / F.size("ss")).alias("w"))
-    seeds = np.zeros((len(vocabulary), len(subjects)))
-    for r in weight.groupBy("h", "subject").agg(F.sum("w").alias("w")).collect():
-        seeds[at[r.h], subjects.index(r.subject)] += r.w
+    # a third of the labelled documents names the topics, of subjects that have enough of them in a language
+    clean = clean.join(docs.select("doc_id", "lang"), "doc_id").distinct()
+    enough = clean.groupBy("subject", "lang").agg((F.count("*") >= FEW_LABELS).alias("enough"))
+    clean = clean.join(enough, ["subject", "lang"], "left")
+    kept_back = (F.pmod(F.xxhash64(F.lit("name"), "doc_id"), F.lit(3)) == 0) & F.col("enough")
+    weight = clean.groupBy("doc_id").agg(F.collect_list("subject").alias("ss"), F.bool_and(F.coalesce("enough", F.lit(False))).alias("enough")).join(docs.select("doc_id", "h"), "doc_id")
+    weight = weight.select(F.explode("h").alias("h"), "ss", kept_back.alias("back")).join(F.broadcast(held), "h", "left_semi").select("h", "back", F.explode("ss").alias("subject"), (1 / F.size("ss")).alias("w"))
+    seeds, naming = np.zeros((2, len(vocabulary), len(subjects)))
+    for r in weight.groupBy("h", "subject", "back").agg(F.sum("w").alias("w")).collect():
+        (naming if r.back else seeds)[at[r.h], subjects.index(r.subject)] += r.w
     # words that most documents of their language share are left out, unless labelled documents tie them to one subject
     share = (seeds.sum(0) + 1) / (seeds.sum() + len(subjects))
     tied = ((seeds + share) / (seeds.sum(1, keepdims=True) + 1) >= 0.5 + 0.5 * share).any(1) & (seeds.sum(1) >= 5) if subjects else np.zeros(0, bool)
     use = (ratio <= COMMON) | tied if subjects else ratio <= COMMON
-    vocabulary, seeds = vocabulary[use], seeds[use]
+    vocabulary, seeds, naming = vocabulary[use], seeds[use], naming[use]
     at = {h: i for i, h in enumerate(vocabulary.tolist())}
     keep = keep or []
     schema = ", ".join(["doc_id long, w array<int>, c array<float>", *(f"`{c}` {t}" for c, t in table.select(*keep).dtypes)])
     k = len(subjects) + FREE_TOPICS
     if not len(vocabulary) or not subjects:
         empty = docs.select("doc_id", F.array().cast("array<int>").alias("w"), F.array().cast("array<float>").alias("c"), *keep)
-        return SubjectModel(subjects, [], np.full((max(len(vocabulary), 1), k), ETA, np.float32), np.full(k, -1), empty)
+        flat = np.full((max(len(vocabulary), 1), k), ETA, np.float32)
+        return SubjectModel(subjects, [], flat, flat, np.full(k, -1), empty)
     entries = cut(docs.select("doc_id", "h", "c", *keep).mapInArrow(_held(spark.sparkContext.broadcast(vocabulary), keep), schema))
     held = spark.createDataFrame([(h,) for h in at], "h int")
     names = table.filter("doc_id is null").select(F.explode(F.arrays_zip("h", "terms")).alias("x")).select("x.h", F.col("x.terms").alias("term"))
@@ -307,7 +334,7 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
     for s, subject in enumerate(subjects):
         for word in described[subject]:
             if (i := at.get(zlib.crc32(word.encode()) - 2**31)) is not None:
-                seeds[i, s] += 3
+                naming[i, s] += 3
     # a word says much of a subject if its labelled documents agree; the rest of its weight is noise
     agree = (seeds + 0.1) / (seeds + 0.1).sum(1, keepdims=True)
     prior = seeds * np.maximum(agree - 0.15, 0) ** 2
@@ -316,33 +343,44 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
     topics[:, : len(subjects)] += prior
     # free topics begin with the words that no subject claims
     topics[:, len(subjects) :] += rng.gamma(1.0, 0.3, (len(vocabulary), FREE_TOPICS)) * (seeds.sum(1, keepdims=True) + 1) * (1 - agree.max(1, keepdims=True)) ** 2
-    topics = (topics / topics.sum(0)).astype(np.float32)
-    for _ in range(ROUNDS):
-        topics_b = spark.sparkContext.broadcast(topics)
+    # in proportion to what they will hold, so that the first round is no different from the others
+    counts = topics / topics.sum(0) * 1e4 + ETA
+    for _ in range(MOST_ROUNDS):
+        topics_b = spark.sparkContext.broadcast(expectation(counts))
         parts = entries.select("doc_id", "w", "c").mapInArrow(_expected(topics_b), "part int, counts binary").groupBy("part").applyInArrow(_sum_parts, "part int, counts binary").collect()
+        before = counts / counts.sum(0)
         counts = np.concatenate([np.frombuffer(p.counts, np.float32).reshape(-1, k) for p in sorted(parts, key=lambda p: p.part)]).astype(np.float64)
         counts += ETA
         counts[:, : len(subjects)] += prior * 5
-        topics = (counts / counts.sum(0)).astype(np.float32)
         topics_b.unpersist()
+        moved = np.abs(counts / counts.sum(0) - before).sum() / (2 * k)
+        if moved <= STAYS:
+            break
+    else:
+        raise RuntimeError(f"topics still move after {MOST_ROUNDS} rounds")
+    topics = (counts / counts.sum(0)).astype(np.float32)
     # inspect the top terms of each topic
     weight = _distinctive(topics)
+    if not naming.any():  # too few labelled documents to keep some back
+        naming = seeds
+    said = (naming + 0.1) / (naming + 0.1).sum(1, keepdims=True)
     owner = np.full(k, -1)
     for t in range(k):
         top = np.argsort(-weight[:, t])[:TOP_TERMS]
-        power = np.maximum(weight[top, t], 0)
-        votes = (agree[top] * (seeds[top].sum(1, keepdims=True) > 0) * power[:, None]).sum(0) / max(power.sum(), 1e-12)
-        best = int(votes.argmax())
+        # terms that no such document holds cannot vote
+        power = np.maximum(weight[top, t], 0) * (naming[top].sum(1) > 0)
+        votes = (said[top] * power[:, None]).sum(0) / max(power.sum(), 1e-12)
+        best = int(((votes - share) / (1 - share)).argmax())
         # a subject names a topic if it has clearly more of the top terms' weight than its share of the labels
         if votes[best] > share[best] + 0.25 * (1 - share[best]):
             owner[t] = best
-    return SubjectModel(subjects, terms, topics, owner, entries)
+    return SubjectModel(subjects, terms, topics, expectation(counts), owner, entries)
 
 
 def shares(model: SubjectModel, keep: list[str] | None = None) -> DataFrame:
     """(doc_id, matter, shares) of all documents, with the columns ``keep``."""
     keep = keep or []
-    run = _shares(model.entries.sparkSession.sparkContext.broadcast(model.topics), model.owner, len(model.subjects), keep)
+    run = _shares(model.entries.sparkSession.sparkContext.broadcast(model.expected), model.owner, len(model.subjects), keep)
     schema = ", ".join(["doc_id long, matter float, shares array<float>", *(f"`{c}` {t}" for c, t in model.entries.select(*keep).dtypes)])
     return model.entries.select("doc_id", "w", "c", *keep).mapInArrow(run, schema)
 

@@ -61,8 +61,8 @@ def test_raking_meets_margins_within_caps():
     sizes, source, lang = rng.random(60) * 100 + 10, np.repeat(np.arange(6), 10), np.tile(np.arange(10), 6)
     share, cap = np.array([0.3, 0.2, 0.2, 0.1, 0.1, 0.1]), np.array([3.0, 2, 2, 2, 2, 2])
     total = mixing.largest_total(np.bincount(source, sizes), share, cap) * 0.8
-    weight = mixing.rake(sizes, source, [(lang, np.bincount(lang, sizes) / sizes.sum() * total)], share * total, cap)
-    assert np.allclose(np.bincount(source, sizes * weight), share * total, rtol=1e-6) and (weight <= cap[source] + 1e-9).all()
+    weight, converged = mixing.rake(sizes, source, [(lang, np.bincount(lang, sizes) / sizes.sum() * total)], share * total, cap)
+    assert np.allclose(np.bincount(source, sizes * weight), share * total, rtol=1e-6) and converged and (weight <= cap[source] + 1e-9).all()
     assert np.abs(np.bincount(lang, sizes * weight) / total - np.bincount(lang, sizes) / sizes.sum()).max() < 0.01
 
 
@@ -72,7 +72,11 @@ def test_mixture_reaches_its_shares(spark):
     rows += [(5000 + i, "small", "en", "a", 100) for i in range(40)] + [(6000, None, "en", "a", 10), (6001, "other", "en", "a", 10), (6002, "big", "en", "a", 0), (6003, "big", "en", "a", None), (5000, "small", "en", "a", 100)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, language string, topic string, tokens long")
     goals = spark.createDataFrame([("big", 0.5, 1), ("hot", 0.3, 2), ("small", 0.1, 5), ("absent", 0.1, 3), (None, 0.5, 1)], "source string, target_share double, max_repeat int")
-    sample, report = mixing.plan(docs, goals)
+    sample, report, margins = mixing.plan(docs, goals)
+    each = margins.collect()
+    assert {r.margin for r in each} == {'source', 'language', 'topic'} and all(r.converged for r in each)
+    for m in ('source', 'language', 'topic'):
+        assert abs(sum(r.reached_share for r in each if r.margin == m) - 1) < 1e-9 and all(abs(r.reached_share - r.raked_share) < 0.1 for r in each if r.margin == m)
     got = {r.source: r for r in report.collect()}
     assert set(got) == {"big", "hot", "small", "absent"} and got["absent"].reached_share == 0
     assert abs(got["big"].reached_share - 0.5 / 0.9) < 0.005 and abs(got["hot"].reached_share - 0.3 / 0.9) < 0.005 and abs(got["small"].reached_share - 0.1 / 0.9) < 0.005
@@ -86,5 +90,18 @@ def test_many_languages_are_all_used(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CATEGORIES", 3)
     rows = [(i, "a" if i % 2 else "b", f"l{i % 9}", "t", 50) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, language string, topic string, tokens long")
-    sample, report = mixing.plan(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeat int"))
+    sample, report, _ = mixing.plan(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeat int"))
     assert sample.count() == 400 and sample.select("language").distinct().count() == 4
+
+
+def test_exp_digamma():
+    # digamma(1) = -0.5772156649, digamma(0.5) = -1.9635100260, digamma(10) = 2.2517525890
+    got = np.log(subjects.exp_digamma(np.array([1.0, 0.5, 10.0, 0.05])))
+    assert np.allclose(got, [-0.5772156649, -1.9635100260, 2.2517525890, -20.4978449], atol=1e-4)
+
+
+def test_text_after_a_list_of_references_counts():
+    text = "Intro words\n## References\n[1] Hidden journal\nA hidden entry\n## Appendix\nVisible tail"
+    got = subjects.words(text)
+    assert "tail" in got and "visible" in got and "hidden" not in got
+    assert "tail" in subjects.words("a\n\\begin{thebibliography}{9} hidden \\end{thebibliography}\nVisible tail") and "far" in subjects.words("x < y and far > z")
