@@ -1,9 +1,11 @@
 """Sentence boundaries across languages and scripts.
 
-A text is read by a pushdown automaton in two linear passes.  The first pairs quotation
-marks and brackets on a stack, one blank-line block at a time, so that an opener without
-a closer has no effect.  The second visits end marks, line breaks and, in Thai, blanks
-outside of all pairs and decides from the context whether a sentence ends there.
+A text is read by a pushdown automaton in two linear passes.  The first keeps quotation
+marks, brackets and list levels on one stack, one blank-line block at a time: a line that
+begins a list, or is the next item of a list on the stack, closes the deeper levels and
+whatever is left open in them, so that an opener without a closer has no effect beyond its
+item.  The second visits end marks, line breaks, list items and, in Thai, blanks outside of
+all pairs and decides from the context whether a sentence ends there.
 Abbreviations are found by walking a trie backwards from the full stop.
 
 Defined results: a null, empty or blank text has no sentences; every character other
@@ -54,11 +56,12 @@ CLOSE = frozenset(")]}）］】》〉」』»”“›\"")
 FULL = frozenset("。！？｡．")
 ENDS = frozenset(".!?…。！？｡।॥؟۔։።")
 EVENT = re.compile(r"[.!?…。！？｡．।॥؟۔։።]+|[()\[\]{}（）［］【】《》〈〉「」『』«»“”„‹›\"]|\n\s*|(?<=[฀-๿])[^\S\n]+|[^\S\n]+(?=[฀-๿])")
-MARKER = re.compile(r"(?:[^\S\n]?\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\])+|\((?:[^()\n]{1,80}?,\s*)\d{4}[a-z]?\)|[⁰¹²³⁴-⁹]+")
-LEADING_MARKER = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]|\([^()\n]{1,80}?,\s*\d{4}[a-z]?\)")
+MARKER = re.compile(r"(?:[^\S\n]?\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\])+|\([^()\n]+?,\s*\d{4}[a-z]?\)|[⁰¹²³⁴-⁹]+")
+LEADING_MARKER = re.compile(r"\[\s*\d+(?:\s*[,;–-]\s*\d+)*\s*\]|\([^()\n]+?,\s*\d{4}[a-z]?\)")
 WORD = re.compile(r"[^\W\d_]+(?:[.'’-][^\W\d_]+)*$")
 MIXED = re.compile(r"[a-zà-ÿ]{1,2}[A-Z]")
-LIST_ITEM = re.compile(r"(?:^|\n)[^\S\n]*(?:\(?\d{1,3}|\(?[a-zA-Z]|[ivxIVX]{1,5})$")
+ITEM = re.compile(r"([-*•–·])[^\S\n]|(\(?)(\d{1,3}|[a-zA-Z]|[ivxIVX]{1,5})([.)])[^\S\n]")
+HEADING_WORDS = 8
 _DESIGNATOR = re.compile(r"(?:group|type|phase|class|part|case|model|arm|site|batch|plan|team|variant|grade|vitamin|hepatitis) [A-Z]$")
 BULLET = re.compile(r"[-*•–·][^\S\n]|\(?(?:\d{1,3}|[a-z])[.)][^\S\n]")
 
@@ -93,18 +96,56 @@ def _abbreviation(root: dict, text: str, dot: int) -> bool:
     return False
 
 
-def _pairs(text: str) -> tuple[dict[int, int], list]:
-    """Start of each pair → its end, and all events."""
+_ROMAN = {"i": 1, "v": 5, "x": 10}
+
+
+def _ordinals(mark: str) -> set[tuple[str, int]]:
+    """What a list mark can count as: a number, a letter or a Roman numeral, with its value."""
+    if mark.isdigit():
+        return {("1", int(mark))}
+    low = mark.lower()
+    out = {("a", ord(low) - 96)} if len(low) == 1 and low.isascii() else set()
+    if set(low) <= set(_ROMAN):
+        values = [_ROMAN[c] for c in low]
+        out.add(("i", sum(-v if v < max(values[k:]) else v for k, v in enumerate(values))))
+    return out
+
+
+def _pairs(text: str) -> tuple[dict[int, int], list, dict[int, int]]:
+    """Start of each pair → its end, all events, and start of each list item → end of its mark."""
     events = [(m.start(), m.end()) for m in EVENT.finditer(text)]
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple] = []  # ("(", place) of an opener or ("item", indent, what it counts as)
     found: dict[int, int] = {}
+    items: dict[int, int] = {}
     open_count: dict[str, int] = {}
+
+    def item(at: int, indent: int) -> None:
+        m = ITEM.match(text, at)
+        if not m:
+            return
+        counts = {("-", 0)} if m.group(1) else _ordinals(m.group(3))
+        levels = [e for e in stack if e[0] == "item"]
+        same = next((e for e in reversed(levels) if e[1] <= indent), None)
+        follows = same is not None and same[1] == indent and any((kind, value - 1) in same[2] or (kind, value) in same[2] and kind == "-" for kind, value in counts)
+        if not follows and not any(value <= 1 for _, value in counts):
+            return
+        # deeper levels, and for a next item its own, end with what is open in them
+        while any(e[0] == "item" and (e[1] > indent or e[1] == indent) for e in stack):
+            e = stack.pop()
+            if e[0] != "item":
+                open_count[e[0]] -= 1
+        stack.append(("item", indent, counts))
+        items[at] = m.end()
+
+    item(_skip_blank(text, 0), 0)
     for start, end in events:
         char = text[start]
         if char == "\n":
             if text.count("\n", start, end) > 1:
                 stack.clear()
                 open_count.clear()
+            if end < len(text):
+                item(end, end - text.rfind("\n", start, end) - 1)
             continue
         if char == '"':
             closes = open_count.get('"', 0) > 0
@@ -113,15 +154,18 @@ def _pairs(text: str) -> tuple[dict[int, int], list]:
         if closes:
             wanted = _OPENERS.get(char, '"')
             while stack:
-                opener, at = stack.pop()
-                open_count[opener] -= 1
-                if opener in wanted:
-                    found[at] = start
+                entry = stack.pop()
+                if entry[0] == "item":  # what is open above an item does not close within it
+                    stack.append(entry)
+                    break
+                open_count[entry[0]] -= 1
+                if entry[0] in wanted:
+                    found[entry[1]] = start
                     break
         elif char in PAIRS or char == '"' and text[start + 1 : start + 2].strip():
             stack.append((char, start))
             open_count[char] = open_count.get(char, 0) + 1
-    return found, events
+    return found, events, items
 
 
 _OPENERS: dict[str, str] = {'"': '"'}
@@ -148,10 +192,10 @@ def _starts(text: str, at: int) -> bool:
 
 
 def _heading(text: str, begin: int, stop: int, after: int) -> bool:
-    """Whether text[begin:stop], a whole line without an end mark, is a heading before text[after:]."""
+    """Whether text[begin:stop], a whole line without an end mark and of ``HEADING_WORDS`` words at most, is a heading before text[after:]."""
     line = text[begin:stop].strip()
     words = line.split()
-    if not words or len(words) > 8 or line[-1] in ",;:，、；：-–" or line[-1] in ENDS or not _starts(text, after):
+    if not words or len(words) > HEADING_WORDS or line[-1] in ",;:，、；：-–" or line[-1] in ENDS or not _starts(text, after):
         return False
     if _caseless(text[after]) or _caseless(line[-1]) or not line[-1].isascii() and not (line[-1].islower() or line[-1].isupper()):
         return True
@@ -175,7 +219,8 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     if not text or text.isspace():
         return []
     n = len(text)
-    pairs, events = _pairs(text)
+    pairs, events, items = _pairs(text)
+    marks = {end - 2 for end in items.values()}  # the full stops of list marks
     out: list[tuple[int, int]] = []
     begin = _skip_blank(text, 0)
     until = -1  # the end of the outermost pair
@@ -222,7 +267,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         if char == "\n":
             if end >= n:
                 continue
-            if text.count("\n", start, end) > 1 or BULLET.match(text, end) and text[end] in "-*•·" or _heading(text, begin, start, end) and "\n" not in text[begin:start].strip():
+            if text.count("\n", start, end) > 1 or BULLET.match(text, end) and text[end] in "-*•·" or end in items or text.rfind("\n", begin, start) < 0 and _heading(text, begin, start, end):
                 cut(start)
             continue
         if char.isspace():  # a blank beside Thai letters
@@ -232,6 +277,8 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             if right.isalnum() or right in PAIRS or right == '"':
                 cut(start)
             continue
+        if start in marks:
+            continue
         # an end mark outside of all pairs
         after = end
         while after < n and text[after] in CLOSE and after not in pairs:
@@ -259,7 +306,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
         if not spaced:
             # a missing blank after a full stop, not inside of a number, an address or an abbreviation
             if mark == "." and following.isupper() and start >= 2 and text[nxt + 1 : nxt + 2].islower() or mark == "." and _caseless(following) and start and not text[start - 1].isdigit() and not text[start - 1].isascii():
-                token = text[max(begin, text.rfind(" ", 0, start) + 1) : start]
+                token = text[max(begin, text.rfind(" ", begin, start) + 1) : start]
                 if "/" in token or "@" in token or "." in token and not token[-1].isdigit() or _abbreviation(_MEDIAL, text, start) or _abbreviation(_FINAL, text, start):
                     continue
                 if len(token) >= 2 and (text[start - 1].isalnum() or text[start - 1] in ")]%\"»”"):
@@ -288,8 +335,6 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
                 m = re.search(r"(\S+)\s+\d{1,2}$", text[max(begin, start - 40) : start])
                 if m and m.group(1).lower() in BEFORE_ORDINAL and following.isupper():
                     continue
-                if LIST_ITEM.search(text, max(0, start - 8), start) and text[start - 8 : start].strip().isdigit() and start - begin <= 3:
-                    continue
         if _starts(text, nxt):
             cut(after)
         elif following.isdigit() and nxt > after and not (start and text[start - 1] == "."):

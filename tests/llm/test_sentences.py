@@ -66,3 +66,44 @@ def test_earliest_row_of_a_repeated_key(spark):
     got = {(r.id, r.start_pos, r.end_pos) for r in sentence_spans(df, "id", "t", ["o"]).collect()}
     assert got == {(1, 0, 6), (None, 0, 7)}
     assert sentence_spans(df.limit(0), "id", "t", ["o"]).count() == 0
+
+
+def pieces(text):
+    return [text[a:b] for a, b in sentences(text)]
+
+
+def test_list_levels_are_on_the_stack():
+    assert pieces("Steps:\n1. First thing (see\n2. Second thing) here") == ["Steps:", "1. First thing (see", "2. Second thing) here"]
+    assert pieces("- outer “one\n  1. inner one\n  2. inner two\n- outer” two") == ["- outer “one", "1. inner one", "2. inner two", "- outer” two"]
+    assert pieces("a) alpha\nb) beta. Next one\nc) gamma") == ["a) alpha", "b) beta.", "Next one", "c) gamma"]
+    assert pieces("i. alpha\nii. beta\niii. gamma\niv. delta") == ["i. alpha", "ii. beta", "iii. gamma", "iv. delta"]
+    # a number at the start of a wrapped line is no item of a list
+    assert pieces("The mean of the sample was about\n3. The rest was less") == ["The mean of the sample was about\n3.", "The rest was less"]
+    assert pieces("1. One\n1. One again\n\n7. Not a list") [:2] == ["1. One", "1. One again"]
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    start = time.time()
+    sentences("x" * 300_000 + ".B" * 20_000 + "\n" + "word " * 100_000 + "line\n" * 20_000)
+    assert time.time() - start < 20
+
+
+def test_recall_of_planted_boundaries():
+    """Sentences with abbreviations, decimals, quotations and lists, joined in blocks: nearly all boundaries are found and no others."""
+    import random
+
+    rng = random.Random(9)
+    kinds = ["Dr. Abel met Prof. Bain at 3.5 km depth.", "The rate fell to 0.25 (cf. Fig. 2).", "“It rose. Then it fell,” she said.", "He asked: why not?", "It was shown [3, 4].", "Values (e.g. 1.2 vs. 3.4) differ.", "本研究は成功した。", "结果很好。", "यह सही है।", "Et al. is used by Smith et al. in text."]
+    found = right = wanted = 0
+    for _ in range(300):
+        parts = [rng.choice(kinds) for _ in range(rng.randint(1, 6))]
+        text, want, at = "", set(), 0
+        for p in parts:
+            text += p + " "
+            want.add((at, at + len(p)))
+            at = len(text)
+        got = set(sentences(text))
+        found, right, wanted = found + len(got), right + len(got & want), wanted + len(want)
+    assert right / wanted > 0.97 and right / found > 0.97
