@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 12
+MOST_PATHS = 100_000  # a schema of more field paths is none, its keys are data: an error is raised
 
 
 @dataclass
@@ -45,7 +45,7 @@ def _unwrap(value):
     return value
 
 
-def _walk(value: dict, path: str, seen: set[tuple[str, str]], depth: int) -> None:
+def _walk(value: dict, path: str, seen: set[tuple[str, str]]) -> None:
     for key, raw in value.items():
         at = f"{path}\0{key}"
         if isinstance(raw, str) and raw.lstrip()[:1] in ("[", "{"):
@@ -57,9 +57,8 @@ def _walk(value: dict, path: str, seen: set[tuple[str, str]], depth: int) -> Non
             items = raw if isinstance(raw, list) else [raw]
             objects = [x for x in map(_unwrap, items) if isinstance(x, dict)]
             seen.add((at, "list" if objects or not items else "scalars" if any(x is not None for x in items) else "null"))
-            if depth < MOST_DEPTH:
-                for item in objects:
-                    _walk(item, at, seen, depth + 1)
+            for item in objects:
+                _walk(item, at, seen)
         else:
             seen.add((at, "null" if raw is None else type(raw).__name__))
 
@@ -73,7 +72,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except (ValueError, RecursionError):
                 continue
             if isinstance(value, dict):
-                _walk(value, "", seen, 0)
+                _walk(value, "", seen)
     path, kind = zip(*sorted(seen)) if seen else ((), ())
     yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(kind, pa.string())], names=["path", "kind"])
 
@@ -81,7 +80,9 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def infer(df: DataFrame, column: str) -> Node:
     """The merged schema of all rows; its size is that of the schema, not of the data."""
     root = Node("")
-    found = df.select(F.col(column).alias("t")).mapInArrow(_paths, "path string, kind string").distinct().collect()
+    found = df.select(F.col(column).alias("t")).mapInArrow(_paths, "path string, kind string").distinct().limit(MOST_PATHS + 1).collect()
+    if len(found) > MOST_PATHS:
+        raise ValueError(f"more than {MOST_PATHS} field paths in {column}: object keys hold data")
     for row in sorted(found, key=lambda r: (r.path, r.kind)):
         *parents, name = row.path.split("\0")[1:]
         node = root

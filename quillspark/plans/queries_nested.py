@@ -87,4 +87,25 @@ _FOUND = (
     + " UNION ALL ".join(f"SELECT id_int, content_part, '{name}' AS node_level, node_path FROM {name}" for name in ("section", "paragraph", "sentence", "span"))
 )
 
-SQL: dict[str, str] = {"p5_found": _FOUND}
+_CTES = _FOUND[: _FOUND.rindex("SELECT id_int, content_part, 'section'")].rstrip()
+_PREFIX = {"abstract": "Abstract_Parsed", "fullbody": "Fullbody_Parsed"}
+
+
+def _table_sql(level: str, fields: list[str], bare: str | None = None) -> str:
+    """The child table of one level: keys made of the document, the part and the ordinals, and the scalar fields as text."""
+    part = "CASE content_part " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PREFIX.items()) + " END"
+    key = f"CAST(id_int AS VARCHAR) || '/' || {part} || '/' || "
+    value = lambda f: f"CASE WHEN json_type(v -> '$.{f}') IN ('ARRAY', 'OBJECT') THEN NULL ELSE v ->> '$.{f}' END"
+    columns = [f"CASE WHEN json_type(v) = 'VARCHAR' THEN v ->> '$' ELSE {value(f)} END AS {f}" if f == bare else f"{value(f)} AS {f}" for f in fields]
+    parent = f"CASE WHEN contains(node_path, '.') THEN {key} regexp_replace(node_path, '\\.[0-9]+$', '') END AS parent_key"
+    ordinal = "CAST(regexp_extract(node_path, '[0-9]+$') AS INT) AS ordinal"
+    return f"{_CTES} SELECT id_int, content_part, {key} node_path AS node_key, {parent}, {ordinal}, {', '.join(columns)} FROM {level}"
+
+
+SQL: dict[str, str] = {
+    "p5_found": _FOUND,
+    "p5_sections": _table_sql("section", ["section_id", "section_title"]),
+    "p5_paragraphs": _table_sql("paragraph", ["paragraph_id"]),
+    "p5_sentences": _table_sql("sentence", ["sentence_id", "sentence_text"], "sentence_text"),
+    "p5_spans": _table_sql("span", ["start", "\"end\"", "text", "ref_id"]),
+}

@@ -18,37 +18,28 @@ def _number(text: str) -> F.Column:
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = Cut(spark)
     paper = table(spark, sf_dir, "paper")
-    targets = paper.select("collection", F.col("id_int").alias("number"), F.col("ingested_at").alias("arrived"), F.coalesce(F.when(F.col("reference").isNotNull(), F.size("reference")), F.lit(0)).alias("n_refs"))
+    size = F.coalesce(F.when(F.col("reference").isNotNull(), F.size("reference")), F.lit(0))
+    targets = paper.select("collection", F.col("id_int").alias("number"), F.col("ingested_at").alias("arrived"), size.alias("size"))
     removed = table(spark, sf_dir, "removal_log").select("collection", F.col("id_int").alias("number"))
     refs = F.transform("cite_spans", lambda s: s.ref_id)
     paragraph = orphans.earliest(table(spark, sf_dir, "paragraph"), "para_id", "ingested_at", [F.col("collection"), F.col("id_int").alias("number"), refs.alias("refs")])
-    # the papers' sizes come along with one join, which serves the paragraph and the span links
-    placed = cut(paragraph.join(targets.select(*ON, F.col("arrived").alias("there"), "n_refs"), ON, "left"))
-    pointing = placed.select(F.lit("paragraph").alias("link"), F.col("para_id").alias("key_id"), F.lit(-1).alias("pos"), F.col("ingested_at").alias("arrived"), *ON, "there", "n_refs")
-    lost = pointing.filter("n_refs is null or there > arrived")
-    gone = removed.distinct().withColumn("gone", F.lit(True))
-    reason = F.when(F.col("n_refs").isNotNull(), "late").when(F.col("gone"), "deleted").otherwise("missing")
-    of_paragraph = lost.join(gone, ON, "left").select("link", "arrived", "key_id", "pos", reason.alias("reason"))
-
-    spans = placed.select("para_id", "ingested_at", "number", "n_refs", F.posexplode("refs").alias("pos", "ref_id"))
-    position = F.expr("try_cast(ref_id as int)")
-    valid = F.col("ref_id").rlike("^[0-9]+$") & F.coalesce(position < F.col("n_refs"), F.lit(False))
-    named = spans.filter("n_refs is not null and ref_id <> ''")
-    of_span = named.filter(~valid).select(F.lit("cite_span").alias("link"), F.col("ingested_at").alias("arrived"), F.col("para_id").alias("key_id"), "pos", F.lit("missing").alias("reason"))
-
+    whole = paragraph.select(F.lit("paragraph").alias("link"), F.col("para_id").alias("key_id"), F.lit(-1).alias("pos"), F.col("ingested_at").alias("arrived"), *ON, "refs")
+    # one resolution serves the paragraph and, as its spans point into the same paper, the spans
+    placed = Cut(spark)(orphans.resolve(whole, targets, ON))
+    span = [F.lit("cite_span").alias("link"), "key_id", "pos", "arrived"]
+    spans = placed.drop("link", "pos").select("key_id", "arrived", "number", "known", "size", F.posexplode("refs").alias("pos", "entry")).select(*span, "number", "known", "size", "entry")
     pointers = (
         paper.select("id_int", "ingested_at", F.posexplode("reference").alias("pos", "r"))
         .filter("trim(r.paperid.id_value) <> ''")
         .select(F.lit("reference").alias("link"), F.col("id_int").alias("key_id"), "pos", F.col("ingested_at").alias("arrived"), F.col("r.paperid.collection").alias("collection"), _number("r.paperid.id_value").alias("number"))
     )
-    of_reference = orphans.direct(pointers, targets, removed, ON)
+    found = orphans.unresolved(placed, removed, ON).unionByName(orphans.outside(spans)).unionByName(orphans.direct(pointers, targets, removed, ON))
 
-    span = [F.lit("cite_span").alias("link"), F.col("para_id").alias("key_id"), "pos", F.col("ingested_at").alias("arrived")]
-    inside = spans.select(*span, F.lit("paragraph").alias("parent_link"), F.col("para_id").alias("parent_key"), F.lit(-1).alias("parent_pos"))
-    cited = named.filter(valid).select(*span, F.lit("reference").alias("parent_link"), F.col("number").alias("parent_key"), position.alias("parent_pos"))
-    return orphans.cascade(of_paragraph.unionByName(of_span).unionByName(of_reference), inside.unionByName(cited))
+    inside = spans.select(*span, F.lit("paragraph").alias("parent_link"), F.col("key_id").alias("parent_key"), F.lit(-1).alias("parent_pos"))
+    held = spans.filter(F.col("known") & orphans.valid_entry(F.col("entry"), F.coalesce("size", F.lit(0))))
+    cited = held.select(*span, F.lit("reference").alias("parent_link"), F.col("number").alias("parent_key"), F.col("entry").try_cast("int").alias("parent_pos"))
+    return orphans.cascade(found, inside.unionByName(cited))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +53,20 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("link", F.date_format("arrived", "yyyy-MM").alias("arrival_month"), "reason", "origin").agg(F.count("*").alias("orphans"))
 
 
+def p4_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans of the other tables that refer to papers, per table and month, and what hangs on them: labels and vectors on documents."""
+    paper = table(spark, sf_dir, "paper").select("id_int", F.col("ingested_at").alias("arrived"))
+    removed = table(spark, sf_dir, "removal_log").select("id_int")
+    row = lambda link, key, arrived: [F.lit(link).alias("link"), F.col(key).alias("key_id"), F.lit(-1).alias("pos"), arrived.alias("arrived")]
+    documents = table(spark, sf_dir, "documents").filter("id_int is not null").select(*row("document", "doc_id", F.col("ingested_at")), "id_int")
+    names = table(spark, sf_dir, "author_name").filter("first_id_int is not null").select(*row("author_name", "name_id", F.col("first_seen_at")), F.col("first_id_int").alias("id_int"))
+    found = orphans.direct(documents.unionByName(names), paper, removed, ["id_int"]).groupBy(*orphans.KEY).agg(F.min("arrived").alias("arrived"), F.min("reason").alias("reason"))
+    never = F.lit(None).cast("timestamp_ntz")
+    hung = [table(spark, sf_dir, name).select(*row(name, key, never), F.lit("document").alias("parent_link"), F.col(key).alias("parent_key"), F.lit(-1).alias("parent_pos")) for name, key in (("subject_label", "doc_id"), ("embeddings", "vec_id"))]
+    rows = orphans.cascade(found.select("link", "arrived", "key_id", "pos", "reason"), hung[0].unionByName(hung[1]))
+    return rows.groupBy("link", F.date_format("arrived", "yyyy-MM").alias("arrival_month"), "reason", "origin", "depth").agg(F.count("*").alias("orphans"))
+
+
 _DIRECT = """
 WITH removed AS (SELECT DISTINCT collection, id_int FROM removal_log),
      first AS (SELECT para_id, ingested_at, collection, id_int, cite_spans FROM
@@ -87,7 +92,7 @@ WITH removed AS (SELECT DISTINCT collection, id_int FROM removal_log),
        WHERE p.id_int IS NULL OR p.ingested_at > f.ingested_at)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_tables": p4_tables}
 SQL = {
     "p4_found": _DIRECT + "SELECT link, strftime(arrived, '%Y-%m') AS arrival_month, key_id, CAST(pos AS INT) AS pos, reason FROM direct",
     "p4_report": _DIRECT
@@ -99,5 +104,15 @@ SQL = {
        GROUP BY s.para_id, s.pos)
 SELECT link, strftime(arrived, '%Y-%m') AS arrival_month, reason, origin, count(*) AS orphans
 FROM (SELECT link, arrived, reason, 'direct' AS origin FROM direct UNION ALL SELECT link, arrived, reason, 'inherited' FROM inherited)
+GROUP BY ALL""",
+    "p4_tables": """WITH gone AS (SELECT DISTINCT id_int FROM removal_log),
+     pointer AS (SELECT 'document' AS link, doc_id AS key_id, ingested_at AS arrived, id_int FROM documents WHERE id_int IS NOT NULL
+                 UNION ALL SELECT 'author_name', name_id, first_seen_at, first_id_int FROM author_name WHERE first_id_int IS NOT NULL),
+     direct AS (SELECT link, key_id, min(q.arrived) AS arrived, min(CASE WHEN p.id_int IS NOT NULL THEN 'late' WHEN g.id_int IS NOT NULL THEN 'deleted' ELSE 'missing' END) AS reason
+                FROM pointer q LEFT JOIN paper p ON p.id_int = q.id_int LEFT JOIN gone g ON g.id_int = q.id_int WHERE p.id_int IS NULL OR p.ingested_at > q.arrived GROUP BY link, key_id),
+     hung AS (SELECT DISTINCT 'subject_label' AS link, doc_id AS key_id FROM subject_label UNION ALL SELECT DISTINCT 'embeddings', vec_id FROM embeddings)
+SELECT link, strftime(arrived, '%Y-%m') AS arrival_month, reason, origin, CAST(depth AS INT) AS depth, count(*) AS orphans
+FROM (SELECT link, arrived, reason, 'direct' AS origin, 0 AS depth FROM direct
+      UNION ALL SELECT h.link, NULL, d.reason, 'inherited', 1 FROM hung h JOIN direct d ON d.link = 'document' AND d.key_id = h.key_id)
 GROUP BY ALL""",
 }

@@ -63,3 +63,22 @@ def test_no_pointers(spark):
     empty = spark.createDataFrame([], "link string, key_id long, pos int, arrived int, k string")
     targets = spark.createDataFrame([], "k string, arrived int")
     assert orphans.direct(empty, targets, targets.select("k"), ["k"]).count() == 0
+
+
+def test_orphans_are_inherited_over_several_levels(spark):
+    direct = spark.createDataFrame([("a", None, 1, -1, "deleted"), ("b", None, 30, -1, "missing")], "link string, arrived timestamp_ntz, key_id long, pos int, reason string")
+    chain = [("b", 10, "a", 1), ("c", 20, "b", 10), ("d", 40, "c", 20), ("a", 1, "d", 40), ("b", 30, "a", 1), ("e", 50, "x", 9), ("c", 20, "b", 10)]
+    edges = spark.createDataFrame([(link, key, -1, None, parent, pkey, -1) for link, key, parent, pkey in chain], "link string, key_id long, pos int, arrived timestamp_ntz, parent_link string, parent_key long, parent_pos int")
+    got = {(r.link, r.key_id): (r.origin, r.depth, r.reason) for r in orphans.cascade(direct, edges).collect()}
+    assert got == {("a", 1): ("direct", 0, "deleted"), ("b", 30): ("direct", 0, "missing"), ("b", 10): ("inherited", 1, "deleted"), ("c", 20): ("inherited", 2, "deleted"), ("d", 40): ("inherited", 3, "deleted")}
+
+
+def test_deep_documents_keep_all_levels(spark):
+    value = {"x": "leaf"}
+    for _ in range(30):
+        value = {"k": [value]}
+    schema = nested.infer(spark.createDataFrame([(json.dumps(value),)], "t string"), "t")
+    depth = 0
+    while "k" in schema.children:
+        schema, depth = schema.children["k"], depth + 1
+    assert depth == 30 and "x" in schema.columns
