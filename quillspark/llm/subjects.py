@@ -40,11 +40,11 @@ STEPS = 6
 STAYS, MOST_ROUNDS = 0.02, 60  # topics stay if no more than this part of their weight moves
 ALPHA, ETA = 0.05, 0.02
 COMMON = 0.3
-BLOCK = 128
+BLOCK = 192
 MEMO = 300_000
 TOP_TERMS = 100
 MOST_SUBJECTS = 1_000  # topics are as many, so more raise an error
-LEAST_DF = 3
+LEAST_DF = (3, 20)  # documents a word must be in: one in 5,000 within these bounds
 FEW_LABELS = 24  # a subject with fewer labelled documents of a language keeps none of them back
 
 _HEADS = "references|bibliography|literature cited|literatur|literaturverzeichnis|références|bibliographie|referencias|bibliografía|список литературы|литература|参考文献|المراجع|संदर्भ|เอกสารอ้างอิง"
@@ -293,9 +293,10 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
     # document frequency of each word in all and in the language that uses it most
     by_lang = docs.select("lang", F.explode("h").alias("h")).groupBy("h", "lang").agg(F.count("*").alias("df"))
     sizes = docs.filter("size(h) > 0").groupBy("lang").agg(F.count("*").alias("n"))
+    least = min(max(LEAST_DF[0], docs.count() // 5_000), LEAST_DF[1])
     frequency = by_lang.join(sizes, "lang", "left")
     frequency = frequency.groupBy("h").agg(F.sum("df").alias("df"), F.max_by(F.col("df") / F.col("n"), "df").alias("ratio"))
-    kept = frequency.filter(F.col("df") >= LEAST_DF).select("h", "df", F.coalesce("ratio", F.lit(0)).alias("ratio")).orderBy(F.desc("df"), "h").limit(VOCABULARY)
+    kept = frequency.filter(F.col("df") >= least).select("h", "df", F.coalesce("ratio", F.lit(0)).alias("ratio")).orderBy(F.desc("df"), "h").limit(VOCABULARY)
     found = sorted((r.h, r.ratio) for r in kept.select("h", "ratio").collect())
     vocabulary, ratio = np.array([h for h, _ in found], np.int32), np.array([r for _, r in found])
     at = {h: i for i, h in enumerate(vocabulary.tolist())}
