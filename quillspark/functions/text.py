@@ -76,7 +76,7 @@ def squash(text: Column) -> Column:
 
 def title_key(text: Column) -> Column:
     """Letters of a title only, without stop words, as a key of equal titles."""
-    kept = F.filter(F.split(F.lower(text), r"\s+"), lambda w: ~is_stop(w))
+    kept = F.filter(F.split(F.lower(text), r"\s+"), lambda w: ~w.isin(*STOPWORDS))
     return F.concat_ws(" ", F.regexp_extract_all(F.concat_ws(" ", kept), F.lit("([a-z]+)"), F.lit(1)))
 
 
@@ -123,17 +123,64 @@ def alike(a: Column, b: Column, least: float = 90.0) -> Column:
     return (F.levenshtein(a, b) <= most) & (ratio(a, b) > least)
 
 
+def _ends(needle: str, text: str, most: int) -> list[int]:
+    """Places in a text where a match within an edit distance ends, by bit-parallel columns: a few operations on long integers for each character."""
+    m = len(needle)
+    full, high = (1 << m) - 1, 1 << m - 1
+    at: dict[str, int] = {}
+    for i, c in enumerate(needle):
+        at[c] = at.get(c, 0) | 1 << i
+    plus, minus, score, out = full, 0, m, []
+    for j, c in enumerate(text):
+        equal = at.get(c, 0)
+        vertical = equal | minus
+        across = (((equal & plus) + plus) ^ plus) | equal
+        up, down = minus | full & ~(across | plus), plus & across
+        if up & high:
+            score += 1
+        elif down & high:
+            score -= 1
+        up, down = up << 1 & full, down << 1 & full
+        plus, minus = down | full & ~(vertical | up), up & vertical
+        if score <= most:
+            out.append(j)
+    return out
+
+
 def near_matches(needle: str, text: str, most: int) -> list[tuple[int, int]]:
     """Non-overlapping places of a text within an edit distance of a needle, the best of each overlap.
 
-    One pass over the text with a row of distances and match starts.
+    Where matches end is found by one bit-parallel pass; their starts by rows of distances
+    over the few characters before.
     """
     m = len(needle)
     if not m or not text:
         return []
-    cost, begin = list(range(m + 1)), [0] * (m + 1)
     hits: list[tuple[int, int, int]] = []
-    for j, c in enumerate(text):
+    reach = m + most + 1
+    ends = _ends(needle, text, most) if most < m else list(range(len(text)))
+    at = 0
+    while at < len(ends):
+        last = at
+        while last + 1 < len(ends) and ends[last + 1] - ends[last] <= reach:
+            last += 1
+        low = max(0, ends[at] - reach)
+        hits += _starts(needle, text, low, ends[last] + 1, most)
+        at = last + 1
+    out: list[tuple[int, int]] = []
+    for _, a, b in sorted(hits, key=lambda h: (h[0], h[2])):
+        if all(b <= x or a >= y for x, y in out):
+            out.append((a, b))
+    return sorted(out)
+
+
+def _starts(needle: str, text: str, low: int, high: int, most: int) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of the matches in text[low:high], by a row of distances and starts."""
+    m = len(needle)
+    cost, begin = list(range(m + 1)), [low] * (m + 1)
+    hits = []
+    for j in range(low, high):
+        c = text[j]
         last_cost, last_begin = cost, begin
         cost, begin = [0] * (m + 1), [j + 1] + [0] * m
         for i in range(1, m + 1):
@@ -147,11 +194,7 @@ def near_matches(needle: str, text: str, most: int) -> list[tuple[int, int]]:
             cost[i], begin[i] = best, at
         if cost[m] <= most:
             hits.append((cost[m], begin[m], j + 1))
-    out: list[tuple[int, int]] = []
-    for _, a, b in sorted(hits, key=lambda h: (h[0], h[2])):
-        if all(b <= x or a >= y for x, y in out):
-            out.append((a, b))
-    return sorted(out)
+    return hits
 
 
 @F.pandas_udf(_SPANS)
@@ -169,6 +212,45 @@ def find_near(needle: pd.Series, text: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+# Edit distances tried in turn, and the length of the probe tried last.
+PASSAGE_EDITS, PROBE = (5, 10, 15), 30
+
+
+def passage(needle: str, text: str) -> tuple[int, int] | None:
+    """Where a passage stands in a text, by rising edit distance, else by a probe from its middle."""
+    needle, text = needle.lower(), text.lower()
+    for most in PASSAGE_EDITS:
+        if found := near_matches(needle, text, most):
+            a, b = found[0]
+            return (a, b - 1) if a < b - 1 else None
+    if len(needle) <= PROBE:
+        return None
+    at = (len(needle) - PROBE) // 2
+    for most in PASSAGE_EDITS:
+        if found := near_matches(needle[at : at + PROBE], text, most):
+            return found[0][0] - at, found[0][1] + len(needle) - at - PROBE
+    return None
+
+
+@F.pandas_udf(_SPANS)
+def find_passage(needle: pd.Series, text: pd.Series) -> pd.Series:
+    """The place of a passage in a text as an array of at most one span; repeated white space is passed over, what reaches beyond the text is cut."""
+    out = []
+    for n, t in zip(needle, text):
+        if not n or not t:
+            out.append([])
+            continue
+        kept = [i for i, c in enumerate(t) if not (c.isspace() and i + 1 < len(t) and t[i + 1].isspace())]
+        place = passage(n, "".join(t[i] for i in kept))
+        if place is None:
+            out.append([])
+            continue
+        start = kept[max(place[0], 0)] if place[0] < len(kept) else len(t)
+        end = kept[place[1]] + 1 if 0 <= place[1] < len(kept) else len(t)
+        out.append([{"start": start, "end": end}] if start < end else [])
+    return pd.Series(out)
+
+
 def highlight(text: Column, keywords: list[str]) -> Column:
     """Spans of keywords in the text after its white space is squashed; neighbouring hits are one span.
 
@@ -245,9 +327,20 @@ _ACCENTED = "àáâãäåāăąçćčďđèéêëēęěğìíîïīįıłļľñ
 _PLAIN = "aaaaaaaaacccddeeeeeeegiiiiiiilllnnnoooooooorrsssttuuuuuuuuyyzzz"
 
 
+# The usual Latin spelling of Cyrillic and Greek letters.
+_CYRILLIC = dict(zip("абвгдеёзийклмнопрстуфыэ", "abvgdeeziiklmnoprstufye")) | {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ь": "", "ю": "yu", "я": "ya"}
+_GREEK = dict(zip("αβγδεζηικλμνξοπρσςτυφωάέήίόύώ", "abgdeziiklmnxoprsstyfoaeiioyo")) | {"θ": "th", "χ": "ch", "ψ": "ps"}
+
+
 def ascii_text(text: Column) -> Column:
-    """Latin letters without their accents; other characters beyond ASCII are left out."""
+    """Latin letters without their accents, Cyrillic and Greek ones by their usual Latin spelling; other characters beyond ASCII are left out."""
     ligatures = text
+    for script in (_CYRILLIC, _GREEK):
+        for raw, plain in script.items():
+            if len(plain) != 1:
+                ligatures = F.replace(F.replace(ligatures, F.lit(raw), F.lit(plain)), F.lit(raw.upper()), F.lit(plain.capitalize()))
+        single = {r: p for r, p in script.items() if len(p) == 1}
+        ligatures = F.translate(ligatures, "".join(single) + "".join(single).upper(), "".join(single.values()) + "".join(single.values()).upper())
     for raw, plain in (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE")):
         ligatures = F.replace(ligatures, F.lit(raw), F.lit(plain))
     return F.regexp_replace(F.translate(ligatures, _ACCENTED + _ACCENTED.replace("ı", "").upper(), _PLAIN + _PLAIN[: _ACCENTED.index("ı")].upper() + _PLAIN[_ACCENTED.index("ı") + 1 :].upper()), r"[^\x00-\x7F]", "")
@@ -262,3 +355,80 @@ def two_digits(value: Column) -> Column:
     named = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.substring(F.lower(F.trim(value)), 1, 3)).cast("int")
     code = F.when(number.isNotNull(), number).otherwise(F.nullif(named, F.lit(0)))
     return F.coalesce(F.when(code.between(1, 31), F.lpad(code.cast("string"), 2, "0")), F.lit(""))
+
+
+def joined_date(year: Column, month: Column, day: Column) -> Column:
+    """What there is of year, month and day, joined by hyphens."""
+    return F.concat_ws("-", *[F.nullif(F.trim(p.cast("string")), F.lit("")) for p in (year, month, day)])
+
+
+def day_month_year(day: Column, month: Column, year: Column) -> Column:
+    """day-month-year, 01 for a day or month that is not given."""
+    part = lambda p, default: F.coalesce(F.nullif(F.trim(p.cast("string")), F.lit("")), F.lit(default))
+    return F.concat_ws("-", part(day, "01"), part(month, "01"), part(year, ""))
+
+
+def full_year(two: Column, pivot: int = 50) -> Column:
+    """The year two digits stand for: below ``pivot`` one of this century."""
+    number = two.try_cast("int")
+    return F.when(number.between(0, 99), F.when(number < pivot, number + 2000).otherwise(number + 1900))
+
+
+def is_expansion(between: Column) -> Column:
+    """Whether the text between two citation markers makes them a range: one or two characters, dashes and blanks only, one dash at least."""
+    return F.coalesce(between.rlike("^[-–— ]{1,2}$") & between.rlike("[-–—]"), F.lit(False))
+
+
+def without_tokens(text: Column, tokens: tuple[str, ...] = ("<pad>", "</s>", "<s>", "<unk>")) -> Column:
+    """Generated text without a model's marks."""
+    for token in tokens:
+        text = F.replace(text, F.lit(token), F.lit(""))
+    return F.trim(text)
+
+
+def is_inside(start: Column, end: Column, spans: Column) -> Column:
+    """Whether a span lies within one of an array of spans."""
+    return F.exists(spans, lambda s: (start >= s.start) & (end <= s.end))
+
+
+def replace_spans(text: Column, spans: Column, before: str = "", after: str = "", between: str = ", ") -> Column:
+    """Text whose spans (start, end, new) are replaced, in order of start.
+
+    A span that overlaps one before it is left out.  All but the first replacement get
+    ``before`` and ``after`` around them, and one that abuts the last span ``between`` in front.
+    """
+    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("n"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fits = (s.start >= acc.at) & (s.end > 0)
+        padded = F.when(acc.n == 0, s.new).otherwise(F.concat(F.when(s.start == acc.at, F.lit(between)).otherwise(""), F.lit(before), s.new, F.lit(after)))
+        kept = F.concat(acc.out, F.substring(text, acc.at + 1, s.start - acc.at), padded)
+        return F.struct(F.when(fits, kept).otherwise(acc.out).alias("out"), F.when(fits, s.end).otherwise(acc.at).alias("at"), F.when(fits, acc.n + 1).otherwise(acc.n).alias("n"))
+
+    return F.aggregate(F.array_sort(spans), state, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+
+
+def clean_latex(text: Column) -> Column:
+    """LaTeX source before it is parsed: optional arguments of citations and bibliography items are taken off, and displayed and inline mathematics are removed after the preamble."""
+    text = F.regexp_replace(text, r"\\(?:cite[pt]?|citealp|citeauthor|citeyear)\*?(?:\[[^\]]*\]){1,2}\{([^}]*)\}", r"\\cite{$1}")
+    text = F.regexp_replace(text, r"\\bibitem\s*\[[^\]]*\]", r"\\bibitem")
+    at = F.position(F.lit(r"\begin{document}"), text)
+    head, body = F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0))), F.when(at > 0, F.substring(text, at, F.length(text))).otherwise(text)
+    for pattern in (r"(?s)\\begin\{(equation|align|eqnarray|gather|multline|displaymath|math)(\*?)\}.*?\\end\{\1\2\}", r"(?s)\$\$.*?\$\$", r"(?s)\\\[.*?\\\]", r"(?s)\\\(.*?\\\)", r"(?s)(?<!\\)\$[^$]*(?<!\\)\$"):
+        body = F.regexp_replace(body, pattern, "")
+    return F.concat(head, body)
+
+
+def last_by_key(entries: Column) -> Column:
+    """A map of an array of (key, value) structs; of equal keys the last counts."""
+    kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i - 1, F.lit(0))), lambda later: later.key == e.key) & e.key.isNotNull())
+    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e.key, e.value)))
+
+
+def word_ids(words: Column, vocabulary: dict[str, int], length: int, unknown: int = 0, pad: int = 1, end: int | None = None) -> Column:
+    """Ids of the first words, filled up to a length; ``end`` closes them if it is given."""
+    known = F.create_map(*[F.lit(x) for kv in vocabulary.items() for x in kv])
+    room = length - (end is not None)
+    ids = F.transform(F.slice(words, 1, room), lambda w: F.coalesce(F.try_element_at(known, w), F.lit(unknown)))
+    closed = F.concat(ids, F.array(F.lit(end))) if end is not None else ids
+    return F.concat(closed, F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - F.size(closed), F.lit(0))))

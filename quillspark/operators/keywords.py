@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.text import INDEX_STOPWORDS
 from quillspark.operators.postings import FIELDS
 
+# The pattern of a DOI in free text.
 _DOI = re.compile(r"10\.\d{4,9}/[-._;()/:a-z0-9]+", re.I)
 _YEAR = re.compile(r"^(?:1[5-9]|20)\d\d$")
 _RANGE = re.compile(r"^\s*(\d{4})\s*\.\.\s*(\d{4})\s*$")
@@ -48,10 +49,8 @@ def lemma(word: str) -> str:
 
 def rewrite(text: str) -> str:
     r"""The short syntax of users: literal \t for and, | for or, ! for not, _ for a blank (not in field names such as Abstract_parsed)."""
-    text = text.replace("\\t", "<AND>").replace("|", "<OR>")
-    text = text.replace("!", "<AND><NOT>").replace("<AND><AND>", "<AND>").replace("<OR><AND><NOT>", "<OR><NOT>")
-    text = re.sub(r"_(?!parsed)", " ", text)
-    return re.sub(r"^<AND>", "", text)
+    pieces = [" ".join(re.sub(r"_(?![pP]arsed)", " ", piece).split()) for piece in text.strip().split("\\t")]
+    return "<AND>".join(p.replace("|", "<OR>").replace("!", "<NOT>") for p in pieces if p)
 
 
 def _simplify(op: str, parts: list[Node], fallback: int | None = None) -> Node:

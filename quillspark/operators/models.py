@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +54,14 @@ def embed(df: DataFrame, key: str, text: str, embedder: Embedder | None = None)
     """(key, v array<double>) of every row, in Arrow batches."""
     model = embedder or HashedWords()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({key: frame[key], "v": list(model([t or "" for t in frame[text]]))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.asarray(model([t or "" for t in batch.column(1).to_pylist()]), np.float64).reshape(batch.num_rows, -1)
+            offsets = pa.array(np.arange(batch.num_rows + 1) * v.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], names=[key, "v"])
 
-    return df.select(key, text).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, v array<double>")
+    slim = df.select(F.col(key).alias(key), F.col(text).cast("string").alias(text))
+    return slim.mapInArrow(run, f"`{key}` {dict(slim.dtypes)[key]}, v array<double>")
 
 
 def pair_text(keywords: Column, before: Column) -> Column:

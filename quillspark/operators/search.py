@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import vectors
+from quillspark.operators import lookup, vectors
+from quillspark.session import Cut
 
 PREFETCH, RESULTS = 1000, 100
 
 
 def search(matching: DataFrame, embeddings: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """The n matching documents nearest each query; matching has id, embeddings id and v, queries query_id and v."""
-    return vectors.top_k(embeddings.join(matching.select("id"), "id", "left_semi"), queries, n)
+    """The n matching documents nearest each query; matching has id, embeddings id and v, queries query_id and v.
+
+    The matching vectors are written once, so that the filter is not run again for their number.
+    """
+    return vectors.top_k(Cut(embeddings.sparkSession)(embeddings.join(matching.select("id"), "id", "left_semi")), queries, n)
 
 
 def per_collection(ranked: DataFrame, collection: str, n: int) -> DataFrame:
@@ -70,28 +74,46 @@ def model_query(keywords: str) -> str:
 
 
 def resolve_titles(titles: DataFrame, papers: DataFrame, ident: str, title: str, asked: str) -> DataFrame:
-    """(asked, ident) of papers whose title has the same letters."""
+    """(asked, ident) of papers whose title has the same letters; a title that many share is joined block by block."""
     left = titles.select(asked, T.title_key(title).alias("_k")).filter("_k <> ''")
     right = papers.select(ident, T.title_key("title").alias("_k")).filter("_k <> ''")
-    return left.join(right, "_k").select(asked, ident)
+    return lookup.blocked(left, right, ["_k"], asked, ident).select(asked, ident)
+
+
+BANDS, BAND_ROWS = 20, 2
+
+
+def title_bands(title: Column) -> Column:
+    """Hashes of bands of minwise letter triples.
+
+    Titles whose ratio is above 90 share half of their triples at least, as a rule, and then
+    meet in one of 20 bands of two rows with a probability of 0.997.
+    """
+    flat = T.squash(F.lower(title))
+    triples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(flat) - 2, F.lit(1))), lambda i: F.xxhash64(F.substr(flat, i, F.lit(3)))))
+
+    def bands(t: Column) -> Column:
+        least = lambda k: F.array_min(F.transform(t, lambda h: F.xxhash64(F.lit(k), h)))
+        return F.array(*[F.xxhash64(F.lit(b), *[least(b * BAND_ROWS + r) for r in range(BAND_ROWS)]) for b in range(BANDS)])
+
+    return F.when(flat != "", T.let(triples, bands)).otherwise(F.array().cast("array<bigint>"))
 
 
-def search_titles(titles: DataFrame, papers: DataFrame, asked: str, ident: str, rare: int = 50, least: float = 90.0) -> DataFrame:
+def search_titles(titles: DataFrame, papers: DataFrame, asked: str, ident: str, least: float = 90.0) -> DataFrame:
     """(asked, ident, found_by) for every asked title: papers of the same letters, else the likeliest paper if it is alike.
 
     ``titles`` has asked, title and family (of an author, or null); ``papers`` ident, title
-    and families.  A title without an equal one is tried against papers that share one of its
-    rarer words and, if a family name is given, name it; the one that shares most words is
-    verified by the ratio of titles.
+    and families.  A title without an equal one meets the papers of a common band (see
+    ``title_bands``), whatever the words it is made of; of those that name the family, if one
+    is given, and whose ratio is above ``least``, the one that shares most bands is the answer.
     """
     same = resolve_titles(titles, papers, ident, "title", asked).withColumn("found_by", F.lit("title"))
     open_ = titles.join(same.select(asked).distinct(), asked, "left_anti")
-    words = lambda df, key: df.select(key, F.explode(T.unigrams(T.index_words(F.coalesce("title", F.lit(""))))).alias("w"))
-    held = words(papers, ident)
-    few = held.groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") <= rare).select("w")
-    met = words(open_, asked).join(held.join(few, "w", "left_semi"), "w").groupBy(asked, ident).agg(F.count("*").alias("shared"))
+    banded = lambda df, key: df.select(key, F.explode(title_bands(F.coalesce("title", F.lit("")))).alias("band"))
+    met = lookup.blocked(banded(open_, asked), banded(papers, ident), ["band"], asked, ident).groupBy(asked, ident).agg(F.count("*").alias("shared"))
     full = met.join(open_.select(asked, F.lower("title").alias("_a"), F.lower("family").alias("_f")), asked).join(papers.select(ident, F.lower("title").alias("_b"), F.transform("families", lambda f: F.lower(f)).alias("_fs")), ident)
     named = F.col("_f").isNull() | (F.trim("_f") == "") | F.array_contains("_fs", F.col("_f"))
+    good = full.filter(named).filter(T.alike(F.col("_a"), F.col("_b"), least))
     best = Window.partitionBy(asked).orderBy(F.desc("shared"), ident)
-    first = full.filter(named).withColumn("_r", F.row_number().over(best)).filter("_r = 1")
-    return same.select(asked, ident, "found_by").unionByName(first.filter(T.alike(F.col("_a"), F.col("_b"), least)).select(asked, ident, F.lit("search").alias("found_by")))
+    first = good.withColumn("_r", F.row_number().over(best)).filter("_r = 1")
+    return same.select(asked, ident, "found_by").unionByName(first.select(asked, ident, F.lit("search").alias("found_by")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -116,20 +118,55 @@ def hamming_similarity(a: Column, b: Column, dimension: int) -> Column:
     return F.lit(dimension) - apart
 
 
-class InvertedFile:
-    """Rows in the cells of their nearest centroid; a search visits the cells nearest the query.
+def hamming_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, equal_signs, rank) of the k rows with most signs equal to a query's, by exclusive or and bit count of packed words, in blocks."""
+    n, q = rows.count(), queries.count()
+    rb, qb = max(1, n // BLOCK_ROWS), max(1, q // BLOCK_QUERIES)
+    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    packed = lambda df, key, own, m, other, o: df.select(key, F.size("v").alias("d"), sign_words(F.col("v")).alias("w"), F.pmod(F.xxhash64(key), F.lit(m)).cast("int").alias(own), spread(o).alias(other))
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"query_id": [], "id": [], "equal_signs": []}
+        if left.num_rows and right.num_rows:
+            order = np.argsort(np.asarray(left["id"]), kind="stable")
+            ids = np.asarray(left["id"])[order]
+            words = np.asarray(left["w"].combine_chunks().flatten()).reshape(len(ids), -1)[order]
+            asked = np.asarray(right["w"].combine_chunks().flatten()).reshape(right.num_rows, -1)
+            width = int(left["d"][0].as_py())
+            for query, one in zip(right["query_id"].to_pylist(), asked):
+                same = width - np.bitwise_count(words ^ one).sum(1, dtype=np.int64)
+                best = np.argsort(-same, kind="stable")[:k]
+                out["query_id"] += [query] * len(best)
+                out["id"] += ids[best].tolist()
+                out["equal_signs"] += same[best].tolist()
+        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "id": pa.array(out["id"], pa.int64()), "equal_signs": pa.array(out["equal_signs"], pa.int32())})
+
+    left, right = packed(rows, "id", "rb", rb, "qb", qb), packed(queries, "query_id", "qb", qb, "rb", rb)
+    near = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(nearest, "query_id long, id long, equal_signs int")
+    order = Window.partitionBy("query_id").orderBy(F.desc("equal_signs"), "id")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
 
-    The centroids are fitted on a bounded sample (``SAMPLE`` rows); every row is indexed.
+class InvertedFile:
+    """Rows in the cells of their nearest centroid, each with a short code; a search reads codes first.
+
+    The number of cells grows with the root of the number of rows, and a cell of many rows is
+    split over several tasks, so that no task grows with the collection.  A search visits the
+    cells nearest the query, orders their rows by the product of the query with codes of
+    ``BITS`` bits a component, and takes the full vectors of the best of them only, ``reread``
+    for each row asked for.  The centroids are fitted on a bounded sample (``SAMPLE`` rows);
+    every row is indexed.
     """
 
-    SAMPLE = 50_000
+    SAMPLE, BITS = 50_000, 4
+    CELL_ROWS = 50_000
 
-    def __init__(self, rows: DataFrame, cells: int, seed: int = 11, rounds: int = 10):
+    def __init__(self, rows: DataFrame, cells: int | None = None, seed: int = 11, rounds: int = 10):
         total = rows.count()
         part = rows.select("v") if total <= self.SAMPLE else rows.select("v").sample(False, self.SAMPLE / total, seed)
         data = np.array([r.v for r in part.limit(self.SAMPLE + self.SAMPLE // 10).collect()], np.float64)
         rng = np.random.default_rng(seed)
-        cells = max(1, min(cells, len(data)))
+        cells = max(1, min(cells or math.isqrt(total), len(data) // 20 or 1))
         centre = data[rng.choice(len(data), cells, replace=False)] if len(data) else np.zeros((1, 1))
         for _ in range(rounds if len(data) else 0):
             owner = (data @ centre.T - 0.5 * (centre**2).sum(1)).argmax(1)
@@ -138,7 +175,13 @@ class InvertedFile:
             count = np.bincount(owner, minlength=cells)
             centre[count > 0] = sums[count > 0] / count[count > 0, None]
         self.centre = centre
-        self.rows = rows.withColumn("cell", self._cells(1)("v")[0])
+        self.scale = float(np.abs(data).std() * 4) if len(data) else 1.0
+        placed = rows.withColumn("cell", self._cells(1)("v")[0])
+        # as many rows as there are cells, so they may go to every worker
+        parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / self.CELL_ROWS).cast("int").alias("parts"))
+        self.parts = parts
+        self.rows = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        self.codes = self.rows.select("id", "cell", "part", quantise(F.col("v"), self.scale, self.BITS).cast("array<tinyint>").alias("v"))
 
     def _cells(self, probes: int):
         centre = self.centre
@@ -153,8 +196,14 @@ class InvertedFile:
 
         return nearest
 
-    def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        asked = queries.withColumn("cell", F.explode(self._cells(probes)("v")))
-        near = self.rows.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(_best(k), "query_id long, id long, similarity double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, reread: int = 10) -> DataFrame:
+        """(query_id, id, similarity, rank); ``probes`` cells are visited, all by default."""
+        probes = min(probes or len(self.centre), len(self.centre))
+        asked = queries.withColumn("cell", F.explode(self._cells(probes)("v"))).join(F.broadcast(self.parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        by = ["cell", "part"]
+        near = self.codes.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_best(k * reread), "query_id long, id long, similarity double")
+        first = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+        kept = near.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= k * reread).select("query_id", "id")
+        full = kept.join(self.rows.select("id", "v"), "id").join(queries.select("query_id", F.col("v").alias("q")), "query_id")
+        scored = full.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("similarity"))
+        return scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)

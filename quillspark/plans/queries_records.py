@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import citations
 from quillspark.functions import text as T
-from quillspark.operators import lookup, projection, search, sections, summary
+from quillspark.operators import federation, lookup, projection, search, sections, summary
 from quillspark.session import table
 
-_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.INDEX_STOPWORDS) + "]"
+_STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS) + "]"
 
 
 def _key_sql(text: str) -> str:
@@ -187,18 +187,24 @@ def highlight_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the title of a meta record stands in the abstract-less title of a paper of the same DOI, within five edits."""
-    meta = table(spark, sf_dir, "meta_record").select("meta_id", F.col("title").alias("needle"), T.normal_doi(F.coalesce("doi", F.lit(""))).alias("d")).filter("d <> ''")
-    paper = _paper(spark, sf_dir).select("id_int", F.col("title").alias("hay"), T.normal_doi(F.coalesce("doi", F.lit(""))).alias("d"))
-    joined = meta.join(paper, "d").select("meta_id", "id_int", F.explode(T.find_near("needle", "hay", F.lit(5))).alias("s"))
-    return joined.select("meta_id", "id_int", "s.start", "s.end")
+    """Where the title of its paper stands in the whole text of a document, by rising distances and then a probe."""
+    documents = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "id_int", "text")
+    joined = documents.join(_paper(spark, sf_dir).select("id_int", F.col("title").alias("needle")), "id_int")
+    return joined.select("doc_id", "id_int", F.explode(T.find_passage("needle", "text")).alias("s")).select("doc_id", "id_int", "s.start", "s.end")
+
+
+def _alike_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(meta_id, id_int, a, b) of records whose titles meet in a band of letter triples."""
+    meta = table(spark, sf_dir, "meta_record").select("meta_id", F.coalesce("title", F.lit("")).alias("a"))
+    paper = _paper(spark, sf_dir).select("id_int", F.coalesce("title", F.lit("")).alias("b"))
+    met = lookup.blocked(meta.select("meta_id", F.explode(search.title_bands(F.col("a"))).alias("k")), paper.select("id_int", F.explode(search.title_bands(F.col("b"))).alias("k")), ["k"], "meta_id", "id_int")
+    return met.select("meta_id", "id_int").distinct().join(meta, "meta_id").join(paper, "id_int")
 
 
 def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title ratios of records that share a DOI."""
-    meta = table(spark, sf_dir, "meta_record").select("meta_id", F.lower("title").alias("a"), T.normal_doi(F.coalesce("doi", F.lit(""))).alias("d")).filter("d <> ''")
-    paper = _paper(spark, sf_dir).select("id_int", F.lower("title").alias("b"), T.normal_doi(F.coalesce("doi", F.lit(""))).alias("d"))
-    return meta.join(paper, "d").select("meta_id", "id_int", F.round(T.ratio("a", "b"), 6).alias("ratio"), T.alike(F.col("a"), F.col("b")).alias("alike"))
+    """Title ratios of records found alike by their letters."""
+    a, b = F.lower("a"), F.lower("b")
+    return _alike_titles(spark, sf_dir).filter(T.alike(a, b, 80.0)).select("meta_id", "id_int", F.round(T.ratio(a, b), 6).alias("ratio"), T.alike(a, b).alias("alike"))
 
 
 def summary_top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,10 +213,95 @@ def summary_top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Papers of the same DOI as a meta record ranked by the words they share with its title."""
-    meta = table(spark, sf_dir, "meta_record").select(F.col("meta_id").alias("query_id"), F.coalesce("title", F.lit("")).alias("query"), T.title_key(F.coalesce("title", F.lit(""))).alias("k")).filter("k <> ''")
-    paper = _paper(spark, sf_dir).select(F.col("id_int").alias("id"), F.concat_ws(" ", "title", "abstract").alias("text"), T.title_key(F.coalesce("title", F.lit(""))).alias("k"))
-    return search.rerank(meta.join(paper, "k"), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    """The papers whose title is alike that of a meta record, ranked by the words they share with it."""
+    text = _paper(spark, sf_dir).select("id_int", F.concat_ws(" ", "title", "abstract").alias("text"))
+    pairs = _alike_titles(spark, sf_dir).join(text, "id_int").select(F.col("meta_id").alias("query_id"), F.col("a").alias("query"), F.col("id_int").alias("id"), "text")
+    return search.rerank(pairs, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+def dup_keys_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate keys by file hash and by stemmed words."""
+    rows = _paper(spark, sf_dir).withColumn("md5", F.md5(F.coalesce("abstract", F.lit(""))))
+    return lookup.duplicate_keys(rows, ["id_int"], "doi", "title", _first_author("author", "givenname", "familyname"), "md5", True).select("id_int", "key_type", "key")
+
+
+_COLLECTIONS = ["S2ORC", "PMCOA", "arXiv", "upload"]
+
+
+def dup_by_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meta records checked against one collection after the other: the hits of the first that has any."""
+    known = lookup.duplicate_keys(_paper(spark, sf_dir).filter("collection is not null"), ["id_int", "collection"], "doi", "title", _first_author("author", "givenname", "familyname"), None, True)
+    asked = lookup.duplicate_keys(table(spark, sf_dir, "meta_record"), ["meta_id"], "doi", "title", _first_author("authors", "first", "last"), None, True)
+    return lookup.cascade_by_collection(asked, known, "meta_id", "id_int", _COLLECTIONS)
+
+
+def federated_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hit of each meta record's DOI in the first collection that has it, the least paper of it."""
+    doi = lambda df, *more: df.select(*more, T.normal_doi(F.coalesce("doi", F.lit(""))).alias("d")).filter("d <> ''")
+    asked, known = doi(table(spark, sf_dir, "meta_record"), "meta_id"), doi(_paper(spark, sf_dir), "collection", "id_int")
+    hits = federation.gather({c: known.filter(F.col("collection") == c) for c in _COLLECTIONS})
+    met = lookup.blocked(asked, hits, ["d"], "meta_id", "id_int")
+    return federation.keep_first(met, ["meta_id"], [F.col("service_order"), F.col("id_int")]).select("meta_id", "service", "id_int")
+
+
+def federated_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited papers by number from the first collection that holds it."""
+    paper = _paper(spark, sf_dir)
+    wanted = paper.select(F.explode("reference").alias("r")).select(F.expr("try_cast(trim(r.paperid.id_value) as bigint)").alias("id_int")).filter("id_int is not null").distinct()
+    parts = {c: paper.filter(F.col("collection") == c).select("id_int", "title") for c in _COLLECTIONS}
+    return federation.first_present(wanted, parts, ["id_int"], ["title"])
+
+
+def live_shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers of the collections that are not paused."""
+    live = federation.live_shards(_COLLECTIONS, ["arXiv", "upload"])
+    return _paper(spark, sf_dir).filter(F.col("collection").isin(*live)).groupBy("collection").agg(F.count("*").alias("n"))
+
+
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first row of a venue, and a row of nulls for a venue that is not there."""
+    rows = table(spark, sf_dir, "venue_list").select("venue_id", "name")
+    there, absent = (federation.point(rows, "venue_id", v, [F.col("name")]) for v in (7, -7))
+    return there.select("venue_id", "name").unionByName(absent.select("venue_id", "name"))
+
+
+def cited_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers each paper cites, once each and sorted."""
+    ids = F.array_compact(F.transform(F.coalesce("reference", F.array()), lambda r: F.nullif(F.trim(r.paperid.id_value), F.lit(""))))
+    return _paper(spark, sf_dir).select("id_int", F.array_join(federation.unique_sorted(ids), ",").alias("cited"))
+
+
+def paper_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates in both written forms, and the year that its last two digits stand for."""
+    d = F.col("publicationdate")
+    return _paper(spark, sf_dir).select("id_int", T.joined_date(d.year, d.month, d.day).alias("joined"), T.day_month_year(d.day, d.month, d.year).alias("written"), T.full_year(F.substring(F.trim(d.year), -2, 2)).alias("year"))
+
+
+def marker_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of neighbouring citation markers and whether the text between them makes them a range."""
+    rows = _paragraphs(spark, sf_dir).filter("text is not null").select("para_id", "text", sections.without_overlap(_spans()).alias("s")).filter("size(s) > 1")
+    pairs = rows.select("para_id", "text", F.posexplode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s") - 1).alias("b"))).alias("pos", "p"))
+    between = F.substr("text", F.col("p.a.end") + 1, F.col("p.b.start") - F.col("p.a.end"))
+    return pairs.select("para_id", "pos", T.is_expansion(between).alias("is_range"))
+
+
+def last_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each reference a paragraph cites the text of its last marker."""
+    entries = F.transform(F.filter(F.coalesce("cite_spans", F.array()), lambda s: F.coalesce(s.ref_id, F.lit("")) != ""), lambda s: F.struct(s.ref_id.alias("key"), F.coalesce(s.text, F.lit("")).alias("value")))
+    return _paragraphs(spark, sf_dir).select("para_id", F.explode(T.last_by_key(entries)).alias("ref_id", "marker"))
+
+
+def common_venue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The venue most papers of a collection are in."""
+    counted = _paper(spark, sf_dir).filter("trim(venue) <> ''").groupBy("collection", "venue").agg(F.count("*").alias("n"))
+    return counted.groupBy("collection").agg(F.max(F.struct("n", "venue")).alias("m")).select("collection", "m.venue", "m.n")
+
+
+def markers_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs with their citation markers written as the references they stand for."""
+    new = F.transform(sections.without_overlap(_spans()), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.concat(F.lit("<"), s.ref_id, F.lit(">")).alias("new")))
+    rows = _paragraphs(spark, sf_dir).filter("text is not null").select("para_id", "text", new.alias("s"))
+    return rows.select("para_id", F.length(T.replace_spans(F.col("text"), F.col("s"))).alias("length"), F.size("s").alias("markers"))
 
 
 def _cite(spark, sf_dir, value: F.Column) -> DataFrame:
@@ -278,11 +369,18 @@ def _parts(text: str) -> str:
 _MLA = "array_to_string(list_filter([CASE WHEN len(names) > 3 THEN names[1] || ' et al' ELSE array_to_string(names, ', ') END, '\"' || trim(coalesce(title, '')) || '\"', trim(coalesce(venue, '')), trim(coalesce(year, ''))], lambda p: p <> '' AND p <> '\"\"'), '. ') || '.'"
 _FIRST_AUTHOR = "concat_ws(' ', author[1].givenname, author[1].familyname)"
 
+_SPANS_SQL = f"""first AS ({_FIRST}), raw AS (SELECT para_id, text, unnest(coalesce(cite_spans, [])) AS s FROM first),
+        typed AS (SELECT para_id, text, try_cast(s.start AS INT) AS a, try_cast(s."end" AS INT) AS b, coalesce(s.text, '') AS t, coalesce(s.ref_id, '') AS r FROM raw WHERE try_cast(s.start AS INT) < try_cast(s."end" AS INT)),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY para_id ORDER BY a, b, t, r) AS i FROM typed),
+        walk AS (SELECT para_id, 0 AS i, -1 AS at, false AS kept FROM (SELECT DISTINCT para_id FROM numbered)
+                 UNION ALL SELECT n.para_id, CAST(n.i AS INT), CASE WHEN n.a >= w.at THEN n.b ELSE w.at END, n.a >= w.at FROM walk w JOIN numbered n ON n.para_id = w.para_id AND n.i = w.i + 1),
+        kept AS (SELECT n.*, row_number() OVER (PARTITION BY n.para_id ORDER BY n.i) AS k, coalesce(lag(n.b) OVER (PARTITION BY n.para_id ORDER BY n.i), 0) AS before FROM numbered n JOIN walk w ON w.para_id = n.para_id AND w.i = n.i AND w.kept)"""
 QUERIES = {f.__name__: f for f in (
     projection_nested, json_props_projection, multi_get_ordered, left_join_first_match, abstract_fill, anti_join_new_docs, upsert_merge, append_with_ids, row_counts,
     dup_keys, dup_key_cascade, exact_dup_groups, dedup_first, version_dedup, title_resolve, title_search, new_versions, ascii_names, sections_islands, span_gap_fill, span_non_overlap, citation_edges,
     sentence_split, sentence_merge, highlight_spans, near_match, fuzzy_titles, summary_top_sentences, lexical_rerank, cite_mla, cite_bibtex, cite_card, reference_texts,
     author_abbrev, md5_base64, doi_urls, affiliations, venue_join,
+    dup_keys_stemmed, dup_by_collection, federated_doi, federated_get, live_shard_counts, point_lookup, cited_numbers, paper_dates, marker_ranges, last_markers, common_venue, markers_replaced,
 )}
 
 SQL = {
@@ -331,4 +429,34 @@ SQL = {
     "doi_urls": f"""SELECT id_int, CASE WHEN trim(coalesce(doi, '')) <> '' THEN 'https://doi.org/' || replace(replace(replace(replace(replace(replace(replace(doi, '%', '%25'), '"', '%22'), '#', '%23'), ' ', '%20'), '?', '%3F'), '<', '%3C'), '>', '%3E') ELSE coalesce(url, '') END AS address, {_DOI} AS doi FROM paper""",
     "affiliations": "SELECT coalesce(nullif(trim(affiliation), ''), '(none)') AS affiliation, count(*) AS names, min(name_id) AS first_name_id FROM author_name GROUP BY 1",
     "venue_join": "WITH n AS (SELECT n, min(venue_id) AS by_name FROM (SELECT venue_id, lower(name) AS n FROM venue_list UNION SELECT venue_id, lower(short_name) FROM venue_list) GROUP BY n) SELECT coalesce(p.venue_id, n.by_name) AS venue, count(*) AS papers FROM paper p LEFT JOIN n ON n.n = lower(trim(p.venue)) GROUP BY 1",
+    "span_non_overlap": f"""WITH RECURSIVE {_SPANS_SQL} SELECT para_id, a AS start, b AS "end", t AS text FROM kept""",
+    "span_gap_fill": f"""WITH RECURSIVE {_SPANS_SQL},
+        run AS (SELECT para_id, 'default' AS kind, before AS start, a AS "end" FROM kept WHERE a > before UNION ALL SELECT para_id, 'citation_marker', a, b FROM kept
+                UNION ALL SELECT f.para_id, 'default', coalesce(m.b, 0), length(f.text) FROM first f LEFT JOIN (SELECT para_id, max(b) AS b FROM kept GROUP BY para_id) m ON m.para_id = f.para_id WHERE f.text IS NOT NULL AND coalesce(m.b, 0) < length(f.text))
+        SELECT para_id, CAST(row_number() OVER (PARTITION BY para_id ORDER BY start, "end") - 1 AS INT) AS pos, kind, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end" FROM run WHERE para_id IN (SELECT para_id FROM first WHERE text IS NOT NULL)""",
+    "marker_ranges": f"""WITH RECURSIVE {_SPANS_SQL}, b AS (SELECT *, substring(text, before + 1, a - before) AS gap FROM kept WHERE text IS NOT NULL AND k > 1)
+        SELECT para_id, CAST(k - 2 AS INT) AS pos, regexp_full_match(gap, '[-–— ]{{1,2}}') AND regexp_matches(gap, '[-–—]') AS is_range FROM b""",
+    "markers_replaced": f"""WITH RECURSIVE {_SPANS_SQL}, d AS (SELECT para_id, count(*) AS n, sum(length(r) + 2 - (b - a) + CASE WHEN k > 1 AND a = before THEN 2 ELSE 0 END) AS grown FROM kept GROUP BY para_id)
+        SELECT f.para_id, CAST(length(text) + coalesce(grown, 0) AS INT) AS length, CAST(coalesce(n, 0) AS INT) AS markers FROM first f LEFT JOIN d USING (para_id) WHERE text IS NOT NULL""",
+    "last_markers": f"""WITH first AS ({_FIRST}), s AS (SELECT para_id, i, cite_spans[i].ref_id AS ref_id, coalesce(cite_spans[i].text, '') AS marker FROM first, unnest(generate_series(1, len(cite_spans))) AS t(i))
+        SELECT para_id, ref_id, arg_max(marker, i) AS marker FROM s WHERE coalesce(ref_id, '') <> '' GROUP BY para_id, ref_id""",
+    "federated_doi": f"""WITH a AS (SELECT meta_id, {_DOI} AS d FROM meta_record), b AS (SELECT collection, id_int, {_DOI} AS d, list_position(['S2ORC', 'PMCOA', 'arXiv', 'upload'], collection) AS o FROM paper)
+        SELECT meta_id, collection AS service, id_int FROM (SELECT meta_id, collection, id_int, row_number() OVER (PARTITION BY meta_id ORDER BY o, id_int) AS rn FROM a JOIN b USING (d) WHERE d <> '' AND o IS NOT NULL) WHERE rn = 1""",
+    "federated_get": """WITH w AS (SELECT DISTINCT try_cast(trim(r.paperid.id_value) AS BIGINT) AS id_int FROM (SELECT unnest(reference) AS r FROM paper))
+        SELECT w.id_int, p.collection AS service, p.title FROM w LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id_int ORDER BY list_position(['S2ORC', 'PMCOA', 'arXiv', 'upload'], collection)) AS rn FROM paper WHERE collection IN ('S2ORC', 'PMCOA', 'arXiv', 'upload')) WHERE rn = 1) p ON p.id_int = w.id_int WHERE w.id_int IS NOT NULL""",
+    "live_shard_counts": "SELECT collection, count(*) AS n FROM paper WHERE collection IN ('S2ORC', 'PMCOA') GROUP BY collection",
+    "point_lookup": "SELECT venue_id, name FROM venue_list WHERE venue_id = 7 UNION ALL SELECT NULL, NULL",
+    "cited_numbers": "SELECT id_int, array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(reference, []), lambda r: trim(r.paperid.id_value)), lambda x: x <> ''))), ',') AS cited FROM paper",
+    "paper_dates": """WITH d AS (SELECT id_int, nullif(trim(publicationdate.year), '') AS y, nullif(trim(publicationdate.month), '') AS m, nullif(trim(publicationdate.day), '') AS d FROM paper)
+        SELECT id_int, concat_ws('-', y, m, d) AS joined, coalesce(d, '01') || '-' || coalesce(m, '01') || '-' || coalesce(y, '') AS written,
+               CASE WHEN try_cast(right(y, 2) AS INT) BETWEEN 0 AND 49 THEN try_cast(right(y, 2) AS INT) + 2000 WHEN try_cast(right(y, 2) AS INT) BETWEEN 50 AND 99 THEN try_cast(right(y, 2) AS INT) + 1900 END AS year FROM d""",
+    "common_venue": "SELECT collection, venue, n FROM (SELECT collection, venue, count(*) AS n, row_number() OVER (PARTITION BY collection ORDER BY count(*) DESC, venue DESC) AS rn FROM paper WHERE trim(venue) <> '' GROUP BY collection, venue) WHERE rn = 1",
+    "ascii_names": r"""SELECT name_id, regexp_replace(translate(strip_accents(replace(replace(replace(replace(replace(coalesce(familyname, ''), 'ß', 'ss'), 'æ', 'ae'), 'Æ', 'AE'), 'œ', 'oe'), 'Œ', 'OE')), 'łŁøØđĐı', 'lLoOdDi'), '[^\x00-\x7F]', '', 'g') AS plain FROM author_name""",
+    "sentence_merge": f"""WITH RECURSIVE p AS (SELECT doc_id, regexp_split_to_array({_squash_sql("coalesce(text, '')")}, '\\.\\s') AS p FROM documents),
+        s AS (SELECT doc_id, list_filter(list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || '.' ELSE x END), lambda x: trim(x, ' ') <> '') AS s FROM p),
+        walk AS (SELECT doc_id, 0 AS i, s, CAST([] AS VARCHAR[]) AS done, '' AS held FROM s
+                 UNION ALL SELECT doc_id, i + 1, s, CASE WHEN len(string_split(now, ' ')) >= 10 THEN list_append(done, now) ELSE done END, CASE WHEN len(string_split(now, ' ')) >= 10 THEN '' ELSE now END
+                 FROM (SELECT doc_id, i, s, done, trim(concat_ws(' ', held, s[i + 1]), ' ') AS now FROM walk WHERE i < len(s))),
+        closed AS (SELECT doc_id, CASE WHEN held = '' THEN done WHEN len(done) = 0 THEN [held] ELSE list_append(done[1:len(done) - 1], done[len(done)] || ' ' || held) END AS done FROM walk WHERE i = len(s))
+        SELECT doc_id, CAST(unnest(range(len(done))) AS INT) AS pos, unnest(done) AS sentence FROM closed""",
 }

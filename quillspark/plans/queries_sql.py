@@ -35,6 +35,7 @@ _TEXT = {
     "sql_except": "SELECT title FROM meta_record EXCEPT SELECT title FROM paper",
     "sql_full_outer": "SELECT coalesce(a.venue_id, b.venue_id) AS venue_id, a.n AS papers, b.n AS n_documents FROM (SELECT venue_id, count(*) AS n FROM paper GROUP BY venue_id) a FULL OUTER JOIN (SELECT venue_id, count(*) AS n FROM documents GROUP BY venue_id) b ON a.venue_id = b.venue_id",
     "sql_cte_scalar": "WITH m AS (SELECT max(n_chars) AS longest FROM documents) SELECT doc_id, n_chars FROM documents, m WHERE n_chars * 2 > longest",
+    "sql_venues_without_papers": "SELECT venue_id, name FROM venue_list v WHERE NOT EXISTS (SELECT 1 FROM paper p WHERE p.venue_id = v.venue_id AND p.collection = 'arXiv')",
     "sql_case_filter": "SELECT collection, sum(CASE WHEN isduplicated THEN 1 ELSE 0 END) AS marked, count(*) FILTER (WHERE abstract IS NULL) AS without_abstract FROM paper GROUP BY collection",
     "sql_correlated_max": "SELECT id_int, last_update_unixtime FROM paper_store s WHERE last_update_unixtime = (SELECT max(last_update_unixtime) FROM paper_store t WHERE t.collection = s.collection AND t.id_int = s.id_int)",
     "sql_range_join": "SELECT a.s_suppkey, count(*) AS customers FROM supplier a JOIN customer b ON b.c_nationkey = a.s_nationkey AND b.c_acctbal BETWEEN a.s_acctbal - 100 AND a.s_acctbal + 100 GROUP BY a.s_suppkey",
@@ -84,17 +85,27 @@ def approximate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median"), F.hll_sketch_estimate(F.hll_sketch_agg("l_orderkey")).alias("orders"))
 
 
+def approximate_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups whose approximate counts and medians are within a tenth of the exact ones."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+    exact = rows.agg(F.countDistinct("l_partkey").alias("p"), F.countDistinct("l_orderkey").alias("o"), F.median("l_quantity").alias("m"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.1 * F.col(b)
+    joined = approximate_counts(spark, sf_dir).join(exact, "l_returnflag")
+    return joined.select("l_returnflag", (near("parts", "p") & near("orders", "o") & near("median", "m")).alias("near"))
+
+
 def pivot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
     return rows.select("o_orderpriority", *[F.coalesce(c, F.lit(0)).alias(f"n_{c.lower()}") for c in ("F", "O", "P")])
 
 
-QUERIES = {**{name: _sql(text) for name, text in _TEXT.items()}, **{f.__name__: f for f in (events_daily, events_sliding, events_sessions, events_as_of, approximate_counts, pivot_status)}}
+QUERIES = {**{name: _sql(text) for name, text in _TEXT.items()}, **{f.__name__: f for f in (events_daily, events_sliding, events_sessions, events_as_of, approximate_counts, approximate_bounds, pivot_status)}}
 SQL = {
     **_TEXT,
     "events_daily": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "events_sliding": "SELECT strftime(d, '%Y-%m-%d') AS first_day, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS d FROM events) GROUP BY 1",
     "events_sessions": "SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 21600000000 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY 1, 2",
     "events_as_of": "SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_view FROM events",
+    "approximate_bounds": "SELECT DISTINCT l_returnflag, true AS near FROM lineitem",
     "pivot_status": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_f, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_o, count(*) FILTER (WHERE o_orderstatus = 'P') AS n_p FROM orders GROUP BY 1",
 }

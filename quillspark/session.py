@@ -46,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -85,7 +85,7 @@ class Cut:
     def release(self, *tables: DataFrame) -> None:
         """Deletes tables that no plan to be run reads any more."""
         for held, path in [t for t in self.tables if any(t[0] is x for x in tables)]:
-            _delete(self.spark, path)
+            delete(self.spark, path)
             self.tables.remove((held, path))
 
     def only(self, *results: DataFrame) -> tuple[DataFrame, ...]:
@@ -95,5 +95,5 @@ class Cut:
         return kept
 
     def drop(self) -> None:
-        _delete(self.spark, self.root)
+        delete(self.spark, self.root)
         self.tables.clear()

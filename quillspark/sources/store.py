@@ -1,17 +1,45 @@
-"""Versioned tables: a new version is written whole and becomes current by one rename of a small pointer."""
+"""Versioned tables as lists of parts.
+
+A table is a folder with ``data/``, one folder of parquet files for each part, and
+``versions/``, one small file for each version that lists the parts in order.  A change
+writes its own rows as a new part and then a new version file; what is written is in
+proportion to the change, not to the table.  A version becomes visible by a rename that fails
+if that version exists, so a reader sees a whole version or the one before it, and of two
+writers one is told to start again.
+
+A part either adds rows or replaces those of the same key in the parts before it; replaced
+rows are set aside when the table is read, and left out for good by ``compact``.
+"""
 
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import lookup
+MOST_PARTS = 24
+
+
+@dataclass(frozen=True)
+class Part:
+    """A folder of a table, and the key by which its rows replace earlier ones, if they do."""
+
+    folder: str
+    replaces: tuple[str, ...] = ()
+
+    def line(self) -> str:
+        return "\t".join([self.folder, *self.replaces])
+
+
+class Conflict(RuntimeError):
+    """Another writer has made the version that was to be made."""
 
 
 class Store:
-    """Tables under one folder, each with numbered versions and a pointer to the current one."""
+    """Tables under one folder of any file system Spark can read."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -19,58 +47,127 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
+    def _list(self, path: str) -> list[str]:
+        at = self._path(path)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _versions(self, name: str) -> list[int]:
+        return [int(n) for n in self._list(f"{self.root}/{name}/versions") if n.isdigit()]
 
     def version(self, name: str) -> int:
         """The current version, 0 if there is none."""
-        path = self._path(self._pointer(name))
-        if not self._fs.exists(path):
-            return 0
-        stream = self._fs.open(path)
-        try:
-            out = 0
-            while (c := stream.read()) >= 0:
-                out = out * 10 + c - 48
-            return out
-        finally:
-            stream.close()
+        return max(self._versions(name), default=0)
 
     def exists(self, name: str) -> bool:
         return self.version(name) > 0
 
-    def read(self, name: str, without: tuple[str, list] | None = None) -> DataFrame:
-        """The current version; ``without`` names a partition column and the values that are set aside, whose files are not read."""
-        df = self.spark.read.parquet(f"{self.root}/{name}/v{self.version(name):06d}")
-        return df.filter(~F.col(without[0]).isin(*without[1])) if without and without[1] else df
+    def parts(self, name: str, version: int | None = None) -> list[Part]:
+        version = version or self.version(name)
+        if not version:
+            return []
+        stream = self._fs.open(self._path(f"{self.root}/{name}/versions/{version:08d}"))
+        try:
+            text = bytes(b & 255 for b in stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+        return [Part(folder, tuple(on)) for folder, *on in (line.split("\t") for line in text.splitlines())]
 
-    def write(self, name: str, df: DataFrame, partition_by: str | None = None, files: int | None = None) -> int:
-        """Writes a new version and makes it current; readers see the old one until then."""
-        new = self.version(name) + 1
-        out = df.repartition(files) if files else df
-        writer = out.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(f"{self.root}/{name}/v{new:06d}")
+    def _publish(self, name: str, based_on: int, parts: list[Part]) -> int:
+        new = based_on + 1
         draft = self._path(f"{self.root}/{name}/.{uuid.uuid4().hex}")
-        stream = self._fs.create(draft, True)
+        target = self._path(f"{self.root}/{name}/versions/{new:08d}")
+        self._fs.mkdirs(target.getParent())
+        stream = self._fs.create(draft, False)
         try:
-            stream.write(bytearray(str(new).encode()))
+            stream.write(bytearray("\n".join(p.line() for p in parts).encode()))
         finally:
             stream.close()
-        target = self._path(self._pointer(name))
-        self._fs.delete(target, False)
-        if not self._fs.rename(draft, target):
-            raise OSError(f"the pointer of {name} could not be set")
+        if self._fs.exists(target) or not self._fs.rename(draft, target):
+            self._fs.delete(draft, False)
+            raise Conflict(f"version {new} of {name} is there already")
         return new
 
+    def _data(self, name: str, part: Part) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}/data/{part.folder}")
+
+    def _add(self, name: str, df: DataFrame, partition_by: str | None = None, files: int | None = None) -> Part:
+        part = Part(uuid.uuid4().hex)
+        writer = (df.repartition(files) if files else df).write.mode("error")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{self.root}/{name}/data/{part.folder}")
+        return part
+
+    def read(self, name: str, without: tuple[str, list] | None = None, version: int | None = None) -> DataFrame:
+        """A version, the current one by default; ``without`` names a column and the values that are set aside, whose files are not read where the column partitions the table."""
+        parts = self.parts(name, version)
+        if not parts:
+            raise ValueError(f"there is no table {name}")
+        # runs of parts between which nothing is replaced are read together
+        later: dict[tuple[str, ...], list[DataFrame]] = {}
+        pieces: list[DataFrame] = []
+        for part in reversed(parts):
+            df = self._data(name, part)
+            for on, keys in later.items():
+                df = df.join(reduce(DataFrame.unionByName, keys), list(on), "left_anti")
+            pieces.append(df)
+            if part.replaces:
+                later.setdefault(part.replaces, []).append(self._data(name, part).select(*part.replaces))
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reversed(pieces))
+        return df.filter(~F.col(without[0]).isin(*without[1]) | F.col(without[0]).isNull()) if without and without[1] else df
+
+    def write(self, name: str, df: DataFrame, partition_by: str | None = None, files: int | None = None) -> int:
+        """The table becomes the rows of df; readers see the old version until then."""
+        based_on = self.version(name)
+        return self._publish(name, based_on, [self._add(name, df, partition_by, files)])
+
+    def append(self, name: str, df: DataFrame, partition_by: str | None = None) -> int:
+        """Adds the rows of df as a part."""
+        based_on = self.version(name)
+        return self._publish(name, based_on, [*self.parts(name, based_on), self._add(name, df, partition_by)])
+
     def upsert(self, name: str, new: DataFrame, on: list[str]) -> int:
-        return self.write(name, lookup.upsert(self.read(name), new, on) if self.exists(name) else new)
+        """Rows of the keys in ``new`` are replaced, other new rows added; only the new rows are written."""
+        based_on = self.version(name)
+        part = self._add(name, new)
+        parts = [*self.parts(name, based_on), Part(part.folder, tuple(on)) if based_on else part]
+        version = self._publish(name, based_on, parts)
+        return self.compact(name) if len(parts) > MOST_PARTS else version
 
     def append_new(self, name: str, new: DataFrame, on: list[str]) -> int:
-        """Adds the rows whose key is not there yet, once each, so that a batch given twice changes nothing."""
+        """Adds the rows whose key is not there yet, once each, so that a batch given twice changes nothing; only those are written."""
         once = new.dropDuplicates(on)
-        return self.write(name, self.read(name).unionByName(once.join(self.read(name).select(*on), on, "left_anti")) if self.exists(name) else once)
+        fresh = once.join(self.read(name).select(*on), on, "left_anti") if self.exists(name) else once
+        version = self.append(name, fresh)
+        return self.compact(name) if len(self.parts(name)) > MOST_PARTS else version
+
+    def compact(self, name: str, partition_by: str | None = None) -> int:
+        """The same rows as one part."""
+        return self.write(name, self.read(name), partition_by)
+
+    def attach(self, name: str, folder: str) -> int:
+        """Takes a part back that ``detach`` has set aside."""
+        based_on = self.version(name)
+        return self._publish(name, based_on, [*self.parts(name, based_on), Part(folder)])
+
+    def detach(self, name: str, folder: str) -> int:
+        """Leaves a part out of the table without deleting its files."""
+        based_on = self.version(name)
+        return self._publish(name, based_on, [p for p in self.parts(name, based_on) if p.folder != folder])
+
+    def vacuum(self, name: str, keep: int = 2) -> None:
+        """Deletes all but the ``keep`` newest versions and the parts that none of those names."""
+        versions = self._versions(name)
+        kept = versions[-keep:]
+        needed = {p.folder for v in kept for p in self.parts(name, v)}
+        for v in versions[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/{name}/versions/{v:08d}"), False)
+        for folder in self._list(f"{self.root}/{name}/data"):
+            if folder not in needed:
+                self._fs.delete(self._path(f"{self.root}/{name}/data/{folder}"), True)
+
+    def size(self, name: str) -> int:
+        """Bytes of the table's files, those of old versions included."""
+        path = self._path(f"{self.root}/{name}/data")
+        return self._fs.getContentSummary(path).getLength() if self._fs.exists(path) else 0
 
     def count(self, name: str) -> int:
         return self.read(name).count() if self.exists(name) else 0

@@ -1,31 +1,72 @@
-"""Keeping the derived tables up to date, in one batch or from a stream of files."""
+"""Keeping the derived tables up to date, in one batch or from a stream of files.
+
+A batch writes its own rows only: papers, duplicate keys, postings and vectors are stored in
+parts, of which a later one replaces the rows of the papers it holds.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillspark.operators import lookup, postings
+from quillspark.operators import lookup, models, postings
+from quillspark.session import Cut
 from quillspark.sources.store import Store
 
 KEY = ["collection", "id_int"]
+TABLES = ("papers", "dedup_keys", "postings", "vectors")
+
+
+def repeats(keys: DataFrame, cut: Cut) -> DataFrame:
+    """KEY of the papers of a batch that repeat another one of it by a key.
+
+    Papers go in order: one stays if no paper that stays comes before it under a common key.
+    """
+    paper = F.struct(*KEY).alias("p")
+    pairs = keys.select(paper, "key_type", "key").distinct()
+    shared = pairs.groupBy("key_type", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    open_, lost = cut(pairs.join(shared.drop("n"), ["key_type", "key"], "left_semi")), []
+    while not open_.isEmpty():
+        least = open_.groupBy("key_type", "key").agg(F.min("p").alias("first"))
+        led = cut(open_.join(least, ["key_type", "key"]))
+        stay = led.groupBy("p").agg(F.bool_and(F.col("p") == F.col("first")).alias("stays")).filter("stays").select("p")
+        gone = cut(led.join(stay.withColumnRenamed("p", "first"), "first", "left_semi").filter(F.col("p") != F.col("first")).select("p").distinct())
+        lost.append(gone)
+        open_ = cut(open_.join(stay.unionByName(gone), "p", "left_anti"))
+    none = pairs.select("p").limit(0)
+    return reduce(DataFrame.unionByName, lost, none).select("p.*")
+
 
+def refresh(store: Store, papers: DataFrame, embedder: models.Embedder | None = None) -> None:
+    """Adds papers that no stored one, and no earlier one of the batch, duplicates by DOI or title, with their keys, postings and vectors.
 
-def refresh(store: Store, papers: DataFrame) -> None:
-    """Adds papers that no stored one duplicates by DOI or title, and their postings and duplicate keys."""
-    keys = lookup.duplicate_keys(papers, KEY, "doi", "title", F.lit("")).filter("key_type in ('doi', 'title')")
+    Papers stored before are replaced; a batch that is run again changes nothing.
+    """
+    cut = Cut(papers.sparkSession)
+    papers = cut(papers.dropDuplicates(KEY))
+    keys = cut(lookup.duplicate_keys(papers, KEY, "doi", "title", F.lit("")).filter("key_type in ('doi', 'title')"))
     if store.exists("dedup_keys"):
-        known = keys.join(store.read("dedup_keys").select("key_type", "key").distinct(), ["key_type", "key"], "left_semi").select(*KEY).distinct()
-        same = store.read("dedup_keys").select(*KEY).distinct()
+        stored = store.read("dedup_keys")
+        known = keys.join(stored.select("key_type", "key").distinct(), ["key_type", "key"], "left_semi").select(*KEY).distinct()
+        same = stored.select(*KEY).distinct()
         papers = papers.join(known.join(same, KEY, "left_anti"), KEY, "left_anti")
+        keys = keys.join(papers.select(*KEY), KEY, "left_semi")
+    papers = cut(papers.join(repeats(keys, cut), KEY, "left_anti"))
     indexed = papers.filter(F.coalesce("requireindexing", F.lit(True)))
-    store.upsert("papers", papers, KEY)
-    stored = store.read("papers").select(*KEY)
-    new_keys = keys.join(stored, KEY, "left_semi")
-    rows = postings.postings(indexed, KEY, postings.paper_terms())
-    for name, df, on in (("dedup_keys", new_keys, [*KEY, "key_type", "key"]), ("postings", rows, [*KEY, "term"])):
-        store.append_new(name, df, on)
+    text = indexed.select(F.struct(*KEY).alias("p"), F.concat_ws(" ", "title", "abstract").alias("t"))
+    changed = {
+        "papers": papers,
+        "dedup_keys": keys.join(papers.select(*KEY), KEY, "left_semi"),
+        "postings": postings.postings(indexed, KEY, postings.paper_terms()),
+        "vectors": models.embed(text, "p", "t", embedder).select("p.*", "v"),
+    }
+    for name, df in changed.items():
+        store.upsert(name, df, KEY)
+        store.vacuum(name)
+    cut.drop()
 
 
 def stream(spark: SparkSession, folder: str, schema, store: Store, checkpoint: str, files_per_batch: int = 16) -> StreamingQuery:

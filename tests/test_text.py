@@ -104,6 +104,9 @@ def test_keyword_trees(text):
 
 def test_rewrite():
     assert K.rewrite(r"a_b\tc|d\t!e") == "a b<AND>c<OR>d<AND><NOT>e"
+    # as the search service has it, what is left of ! in a piece has no effect
+    assert K.rewrite("a!b") == "a<NOT>b" and K.parse(K.rewrite("a!b")) == K.parse("<NOT>b")
+    assert K.rewrite("Abstract_Parsed:x_y") == "Abstract_Parsed:x y" and K.rewrite("Abstract_parsed") == "Abstract_parsed" and K.rewrite(r"\t \ta") == "a" and K.rewrite("") == ""
 
 
 def test_matching_both_ways_equals_sets(spark):
