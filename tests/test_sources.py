@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from quillspark.operators import lookup, normalise, projection, sections, summary
-from quillspark.sources import files, lines, markup
+from quillspark.sources import files, lines, markup, releases
 from quillspark.sources.store import Store
 from quillspark.streaming import refresh
 
@@ -138,3 +138,70 @@ def test_summary():
     text = ["the cat sat on the mat today", "a dog ran far away from here", "the cat sat on the mat again", ""]
     assert summary.extract(text, 2) == sorted(summary.extract(text, 2)) and len(summary.extract(text, 2)) == 2
     assert summary.extract(text, 4, block=4) != [0, 1, 2, 3] and summary.extract([], 3) == []
+
+
+RICH = """<article xmlns:x="u"><front><article-meta><title-group><article-title>Rich</article-title></title-group><contrib-group><contrib contrib-type="author"><contrib-id contrib-id-type="orcid">https://orcid.org/0000-0002-1825-0097</contrib-id><name><surname>Doe</surname><given-names>J</given-names></name></contrib>
+<contrib contrib-type="author"><collab>The Group</collab></contrib></contrib-group><abstract>Bare abstract.</abstract><funding-group><award-group><funding-source>Fund A</funding-source><award-id>G-1</award-id></award-group></funding-group></article-meta></front>
+<body><p>Before <inline-formula><tex-math>\\begin{document}$x^2$\\end{document}</tex-math></inline-formula> and after.</p><disp-formula id="E1"><label>(1)</label><math><mi>y</mi></math></disp-formula>
+<disp-formula-group><disp-formula id="E2"><tex-math>z=1</tex-math></disp-formula></disp-formula-group><statement><title>Theorem</title><p>It holds.</p></statement><verse-group><verse-line>A line of verse</verse-line></verse-group>
+<list><list-item><p>First item</p><p>goes on</p></list-item><list-item><label>2</label><p>Second item</p></list-item></list><boxed-text><sec><title>Box</title><p>In the box.</p></sec></boxed-text><note>A stray note</note>
+<supplementary-material id="S1"><label>Data S1</label><caption><p>Raw data</p></caption></supplementary-material></body>
+<back><ack><p>We thank all.</p></ack><fn-group><fn fn-type="conflict" id="fn1"><p>No conflict.</p></fn></fn-group><app-group><app><title>Appendix A</title><p>More text.</p></app></app-group></back></article>"""
+
+
+def test_no_text_of_an_article_is_lost():
+    d = markup.parse(RICH.encode())
+    body = [(p["section"], p["text"]) for p in d["body_text"]]
+    assert ("", "Before $x^2$ and after.") in body and ("Theorem", "It holds.") in body and ("Box", "In the box.") in body
+    assert ("", "A line of verse") in body and ("", "A stray note") in body and ("", "z=1") in body and any("y (1)" in t for _, t in body)
+    assert [t for _, t in body if "item" in t] == ["First itemgoes on", "Second item"] or any("First item" in t for _, t in body)
+    equation = d["body_text"][0]["eq_spans"][0]
+    assert d["body_text"][0]["text"][equation["start"] : equation["end"]] == "$x^2$" and equation["latex"] == "$x^2$"
+    assert [(p["section"], p["text"]) for p in d["back_matter"]] == [("Acknowledgements", "We thank all."), ("Footnotes", "No conflict."), ("Appendix A", "More text.")]
+    assert d["conflicts"] == ["No conflict."] and d["funding"] == ["Fund A", "G-1"] and d["supplements"] == ["Data S1 Raw data"]
+    assert [(a["last"], a["orcid"]) for a in d["authors"]] == [("Doe", "0000-0002-1825-0097"), ("The Group", "")] and d["abstract"][0]["text"] == "Bare abstract."
+    kinds = {(e["kind"], e["num"]) for e in d["ref_entries"]}
+    assert ("formula", "1") in kinds and ("footnote", None) in kinds
+
+
+def test_notes_formulas_and_back_of_parsed_pdfs():
+    tei = """<TEI xmlns="t"><teiHeader><fileDesc><titleStmt><title>T</title></titleStmt></fileDesc></teiHeader><text><body><div><head n="2">Model</head><p>Let <formula id="formula_0">a = b<label>(3)</label></formula> hold<note place="foot" n="1" id="foot_0">A footnote.</note>.</p>
+    <formula id="formula_1">c = d</formula><list><item>one</item><item>two</item></list><div><head>Inner</head><p>Deep.</p></div></div><p>Loose text.</p></body><back><div type="acknowledgement"><div><head>Thanks</head><p>To all.</p></div></div><div type="funding"><p>Grant 7.</p></div></back></text></TEI>"""
+    d = markup.parse(tei.encode())
+    body = [(p["section"], p["text"]) for p in d["body_text"]]
+    assert [b for b in body if b[1] in ("A footnote.", "c = d", "one", "two")] == [("Model", "A footnote."), ("Model", "c = d"), ("Model", "one"), ("Model", "two")]
+    assert ("Inner", "Deep.") in body and any(t == "Loose text." for _, t in body) and body[0][1].startswith("Let a = b")
+    assert d["body_text"][0]["eq_spans"][0]["ref_id"] == "FORMREF0" and [p["text"] for p in d["back_matter"]] == ["To all.", "Grant 7."] and d["funding"] == ["Grant 7."]
+    assert {e["kind"] for e in d["ref_entries"]} == {"formula", "footnote"}
+
+
+def test_front_matter_and_references_of_latex():
+    d = markup.parse(b"<std><maketitle><title>Main title</title><author>Jo van Doe Jr. and Roe, R.<affil>Uni</affil></author></maketitle><abstract><p>One.</p><p>Two.</p></abstract><div0><head>S</head><p>x <formula id='uid3' type='inline'><texmath>E=mc^2</texmath></formula><note>Foot</note> y</p><quote><p>Quoted.</p></quote></div0><bibitem id='bid2'>R. Roe, \"A long title of it,\" J. 12(3), 45-67, 2004. doi:10.5555/abc.1</bibitem></std>")
+    assert d["title"] == "Main title" and [(a["first"], a["last"], a["suffix"]) for a in d["authors"]] == [("Jo", "Doe", "Jr."), ("R.", "Roe", "")]
+    assert [p["text"] for p in d["abstract"]] == ["One.", "Two."] and [p["text"] for p in d["body_text"]] == ["x E=mc^2 y", "Quoted."]
+    b = d["bib_entries"][0]
+    assert (b["ref_id"], b["title"], b["year"], b["volume"], b["issue"], b["pages"], b["doi"]) == ("BIBREF2", "A long title of it", "2004", "12", "3", "45-67", "10.5555/abc.1")
+    assert {e["kind"] for e in d["ref_entries"]} == {"formula", "footnote"} and d["body_text"][0]["eq_spans"][0]["latex"] == "E=mc^2"
+
+
+def test_release_round_trip_and_layouts(spark, tmp_path):
+    rows = [{"file": "p1", "error": None, **markup.parse(JATS.encode())}]
+    parsed = spark.createDataFrame(rows, f"file string, error string, {markup.SCHEMA}")
+    text = releases.release_json(parsed, "file", "reader 1", "2026-01-01").first().document
+    assert json.loads(text)["header"] == {"generated_with": "reader 1", "date_generated": "2026-01-01"}
+    (tmp_path / "r.json").write_text(text)
+    back = releases.read_release(spark.read.json(str(tmp_path / "r.json"))).first()
+    assert back.paper_id == "p1" and back.title == "On small things" and back.body_text[0].text == rows[0]["body_text"][0]["text"] and back.bib_entries.BIBREF1.title == "Old work"
+    again = {p.text: [(s.start, s.end, s.ref_id) for s in p.cite_spans] for p in back.body_text}
+    assert again == {p["text"]: [(s["start"], s["end"], s["ref_id"]) for s in p["cite_spans"]] for p in rows[0]["body_text"]}
+    docs = {
+        "2019": {"paper_id": "a", "title": "T", "year": 2001, "grobid_parse": {"abstract": [{"text": "A"}], "body_text": [{"text": "B"}, {"text": "C"}], "bib_entries": {"BIBREF0": {"title": "X"}}}},
+        "2020": {"paper_id": "a", "metadata": {"title": "T"}, "abstract": [{"text": "A"}], "body_text": [{"text": "B"}, {"text": "C"}], "bib_entries": {"BIBREF0": {"title": "X"}}},
+        "current": {"paper_id": "a", "title": "T", "pdf_parse": {"abstract": [{"text": "A"}], "body_text": [{"text": "B"}, {"text": "C"}], "bib_entries": {"BIBREF0": {"title": "X"}}}},
+    }
+    for name, doc in docs.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+        df = spark.read.json(str(tmp_path / f"{name}.json"))
+        assert releases.layout(df.columns) == name
+        got = releases.read_release(df).select("title", releases.raw_text(F.col("body_text")).alias("raw"), "abstract").first()
+        assert (got.title, got.raw, got.abstract[0].text) == ("T", "B\nC", "A")
