@@ -37,7 +37,7 @@ from quillspark.session import Cut
 VOCABULARY = 30_000
 FREE_TOPICS = 6
 STEPS = 6
-STAYS, MOST_ROUNDS = 0.02, 60  # topics stay if no more than this part of their weight moves
+STAYS, MOST_ROUNDS = 0.04, 60  # topics stay if no more than this part of all words moves to another word of a topic or another topic
 ALPHA, ETA = 0.05, 0.02
 COMMON = 0.3
 BLOCK = 192
@@ -344,17 +344,17 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
     topics[:, : len(subjects)] += prior
     # free topics begin with the words that no subject claims
     topics[:, len(subjects) :] += rng.gamma(1.0, 0.3, (len(vocabulary), FREE_TOPICS)) * (seeds.sum(1, keepdims=True) + 1) * (1 - agree.max(1, keepdims=True)) ** 2
-    # in proportion to what they will hold, so that the first round is no different from the others
+    # alike in weight, as nothing is known of how much each topic will hold
     counts = topics / topics.sum(0) * 1e4 + ETA
     for _ in range(MOST_ROUNDS):
         topics_b = spark.sparkContext.broadcast(expectation(counts))
         parts = entries.select("doc_id", "w", "c").mapInArrow(_expected(topics_b), "part int, counts binary").groupBy("part").applyInArrow(_sum_parts, "part int, counts binary").collect()
-        before = counts / counts.sum(0)
+        before = counts / counts.sum()
         counts = np.concatenate([np.frombuffer(p.counts, np.float32).reshape(-1, k) for p in sorted(parts, key=lambda p: p.part)]).astype(np.float64)
         counts += ETA
         counts[:, : len(subjects)] += prior * 5
         topics_b.unpersist()
-        moved = np.abs(counts / counts.sum(0) - before).sum() / (2 * k)
+        moved = np.abs(counts / counts.sum() - before).sum() / 2
         if moved <= STAYS:
             break
     else:
