@@ -54,7 +54,17 @@ def p8_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.agg(F.count_if("over").alias("over_cap"), F.count_if("off").alias("off_target"), F.count("*").alias("sources"))
 
 
-QUERIES = {"p8_margins": p8_margins, "p8_caps": p8_caps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_makeup": p9_makeup}
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of the subjects: those that are not allowed, of documents without text, and repeated ones; one row."""
+    found = p9_found(spark, sf_dir)
+    allowed = table(spark, sf_dir, "subject_area").select("subject", F.lit(True).alias("ok"))
+    blank = table(spark, sf_dir, "documents").filter("text is null or trim(text) = ''").select("doc_id", F.lit(True).alias("blank"))
+    marked = found.join(F.broadcast(allowed), "subject", "left").join(blank, "doc_id", "left")
+    return marked.agg(F.count_if(F.col("ok").isNull()).alias("unknown"), F.count_if("blank").alias("without_text"), (F.count("*") - F.count_distinct("doc_id", "subject")).alias("repeated"))
+
+
+QUERIES = {"p9_checks": p9_checks, "p8_margins": p8_margins, "p8_caps": p8_caps, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_makeup": p9_makeup}
 SQL: dict[str, str] = {
+    "p9_checks": "SELECT 0 AS unknown, 0 AS without_text, 0 AS repeated",
     "p8_caps": "SELECT 0 AS over_cap, 0 AS off_target, count(*) AS sources FROM mix_target WHERE target_share > 0 AND source IN (SELECT source FROM documents WHERE length(trim(text)) > 0)",
 }
