@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import citations
@@ -49,8 +49,9 @@ def references(bib: Column) -> Column:
 
 
 def join_parses(metadata: DataFrame, parses: DataFrame) -> DataFrame:
-    """Metadata with the first parse of each paper; blank abstracts are filled from the parsed ones."""
-    one = parses.groupBy("paper_id").agg(F.min_by(F.struct("body_text", "bib_entries", F.col("abstract").alias("parsed_abstract")), F.xxhash64(F.to_json(F.struct("body_text")))).alias("p"))
+    """Metadata with the first parse of each paper, by file number and place in the file where these are known; blank abstracts are filled from the parsed ones."""
+    order = F.struct(*[F.col(c) for c in ("file_number", "position") if c in parses.columns], F.xxhash64(F.to_json(F.struct("body_text"))).alias("_h"))
+    one = parses.groupBy("paper_id").agg(F.min_by(F.struct("body_text", "bib_entries", F.col("abstract").alias("parsed_abstract")), order).alias("p"))
     joined = metadata.join(one, "paper_id", "left")
     own = F.nullif(F.trim(F.coalesce("abstract", F.lit(""))), F.lit(""))
     parsed = F.array_join(F.transform(F.coalesce("p.parsed_abstract", F.array()), lambda x: x.text), " ")
@@ -90,8 +91,6 @@ def body(rows: DataFrame, key: str) -> DataFrame:
     built = sections.build_sections(paragraphs, [key], [F.col("n")], "section")
     split = built.select(key, "keys", "section_id", F.col("section_name").alias("section_title"), "paragraph_id", "text", "spans", F.posexplode(T.split_sentences(F.col("text"))).alias("sentence_id", "sentence_text"))
     # sentences follow one another with one blank between, so their starts are sums of lengths
-    from pyspark.sql import Window
-
     by = Window.partitionBy(key, "section_id", "paragraph_id").orderBy("sentence_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = split.withColumn("at", F.coalesce(F.sum(F.length("sentence_text") + 1).over(by), F.lit(0)).cast("int"))
     end = F.col("at") + F.length("sentence_text")

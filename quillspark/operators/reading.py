@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import citations
 from quillspark.functions import text as T
+from quillspark.operators import sections, summary
 
 
 def sentences(df: DataFrame, key: str, parsed: str) -> DataFrame:
@@ -54,3 +56,37 @@ def fill_placeholders(text: Column, tokens: Column) -> Column:
         return F.struct(F.when(place > 0, new).otherwise(acc.text).alias("text"), F.lit(0).alias("at"), F.when(place > 0, F.concat(moved, F.array(span))).otherwise(acc.spans).alias("spans"))
 
     return F.aggregate(tokens, start, step, lambda acc: F.struct(acc.text.alias("text"), F.array_sort(acc.spans).alias("spans")))
+
+
+def highlights(df: DataFrame, key: str, parsed: str, most: int = 7, scorer: summary.SentenceScorer | None = None) -> DataFrame:
+    """(key, section_id, paragraph_id, sentence_id, sentence_text) of the sentences that sum a paper's body up, in the order of the text; a paper without a body has none."""
+    placed = sentences(df, key, parsed)
+    whole = placed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section_id", "paragraph_id", "sentence_id", F.coalesce("sentence_text", F.lit("")).alias("sentence_text")))).alias("all"))
+    chosen = summary.summarise(whole.withColumn("texts", F.transform("all", lambda s: s.sentence_text)), key, "texts", most, scorer)
+    return whole.join(chosen, key).select(key, F.explode("sentence_position").alias("at"), "all").select(key, F.get("all", "at").alias("s")).select(key, "s.*")
+
+
+def marked_paper(df: DataFrame, key: str, parsed: str, wanted: DataFrame, least: float = 95.0) -> tuple[DataFrame, DataFrame]:
+    """(sentences, matches): all sentences of papers as runs of plain text and citation markers, those marked by a wanted sentence with its ref, and which ref stands where.
+
+    ``wanted`` has key, ref and ref_text; for a ref the last sentence that is alike counts, and of
+    refs at one sentence the greatest.
+    """
+    section = df.select(key, F.posexplode(parsed).alias("section_id", "s"))
+    para = section.select(key, "section_id", F.posexplode("s.section_text").alias("paragraph_id", "p"))
+    found = para.select(key, "section_id", "paragraph_id", F.posexplode("p.paragraph_text").alias("sentence_id", "x")).select(key, "section_id", "paragraph_id", "sentence_id", F.col("x.sentence_text").alias("sentence_text"), F.col("x.cite_spans").alias("cite_spans"))
+    place = ["section_id", "paragraph_id", "sentence_id"]
+    matches = mark(found.drop("cite_spans"), wanted, key, place, least).select(key, "ref", *place)
+    marked = found.join(matches.groupBy(key, *place).agg(F.max("ref").alias("ref")), [key, *place], "left")
+    runs = sections.fill_gaps(F.coalesce("sentence_text", F.lit("")), sections.typed_spans(F.col("cite_spans")))
+    return marked.select(key, *place, "sentence_text", "ref", runs.alias("runs")), matches
+
+
+def result_card(df: DataFrame, key: str, parsed: str, most: int = 3) -> DataFrame:
+    """(key, citation, title, summary): what is shown of a search result: who wrote it, its title and the sentences that sum it up.
+
+    ``df`` has key, title, author and the parsed body.
+    """
+    picked = highlights(df, key, parsed, most)
+    text = picked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_id", "paragraph_id", "sentence_id", "sentence_text"))), lambda s: s.sentence_text), " ").alias("summary"))
+    return df.select(key, citations.card(F.col("author")).alias("citation"), "title").join(text, key, "left").select(key, "citation", "title", F.coalesce("summary", F.lit("")).alias("summary"))
