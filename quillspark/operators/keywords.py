@@ -9,6 +9,7 @@ is dropped.  An empty element matches everything.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,7 @@ class Node:
 
 
 ALL = Node("all")
+Person = Callable[[str], tuple[str, str] | None]
 
 
 def lemma(word: str) -> str:
@@ -91,16 +93,31 @@ def _full_name(text: str) -> Node:
     return _simplify("or", [Node("term", term="author.fullname:" + " ".join(t)) for t in dict.fromkeys([tuple(tokens), tuple(swapped)])])
 
 
-def _person(text: str) -> Node:
-    """A name as typed, reversed, and only if neither is known its plain words."""
-    tokens = re.findall(r"\w+", text.lower())
-    if len(tokens) < 2:
-        return Node("term", term="author.familyname:" + tokens[0]) if tokens else ALL
-    names = [Node("term", term="author.fullname:" + " ".join(t)) for t in (tokens, tokens[-1:] + tokens[:-1])]
-    return Node("or", [*names, _grams(text)], fallback=2)
+_NAME = re.compile(r"[^\W\d_a-z][\w'’-]+(?:\s+[^\W\d_a-z]\.?)*\s+(?:(?:van|von|de|der|den|la|le|al|el|bin)\s+)*[^\W\d_a-z][\w'’-]+")
+
+
+def looks_like_name(text: str) -> tuple[str, str] | None:
+    """(first, last) of a text that is written as a person's name: words in capitals, perhaps with initials between.
+
+    A wrong guess does no harm: a name that no author has counts as its plain words.  A
+    recogniser of names can stand in for this rule.
+    """
+    found = _NAME.fullmatch(text.strip().rstrip(","))
+    words = re.findall(r"[\w'’-]+", found.group()) if found else []
+    return (words[0], words[-1]) if len(words) > 1 else None
+
 
+def _person(first: str, last: str) -> Node:
+    """A name as typed or reversed, and only if no author has it its plain words."""
+    first, last = (" ".join(re.findall(r"\w+", x.lower())) for x in (first, last))
+    if first and last:
+        names = [Node("term", term=f"author.fullname:{a} {b}") for a, b in ((first, last), (last, first))]
+    else:
+        names = [Node("term", term=f"author.{field}:{first or last}") for field in ("familyname", "givenname")]
+    return Node("or", [*names, _simplify("and", [_grams(x) for x in (first, last) if x])], fallback=2)
 
-def _piece(text: str) -> Node:
+
+def _piece(text: str, person: Person | None) -> Node:
     name, colon, rest = text.partition(":")
     if colon and (lowered := name.strip().lower()) in FIELDS:
         text = rest
@@ -115,7 +132,8 @@ def _piece(text: str) -> Node:
         if lowered == "author.fullname":
             return _full_name(rest)
         if lowered == "author":
-            return _person(rest)
+            tokens = re.findall(r"[\w'’-]+", rest)
+            return _person(tokens[0], tokens[-1] if len(tokens) > 1 else "") if tokens else ALL
         if lowered in ("title", "venue"):
             return _grams(rest, lowered + ":")
         return Node("term", term=f"{lowered}:" + " ".join(re.findall(r"\w+", rest.lower())))
@@ -128,13 +146,17 @@ def _piece(text: str) -> Node:
     years = [w for w in re.findall(r"\w+", text) if _YEAR.match(w)]
     if years:
         return _simplify("and", [Node("term", term=f"publicationdate.year:{y}") for y in years])
+    if name := (person or looks_like_name)(text):
+        return _person(*name)
     return _grams(text)
 
 
-def parse(text: str) -> Node:
+def parse(text: str, person: Person | None = None) -> Node:
+    """The node of a keyword query; ``person`` recognises names in free text (see ``looks_like_name``)."""
+
     def lowest(text: str, stages: tuple[str, ...]) -> Node:
         if not stages:
-            return _piece(text) if text.strip() else ALL
+            return _piece(text, person) if text.strip() else ALL
         mark, rest = stages[0], stages[1:]
         if mark == "<NOT>":
             if mark not in text:

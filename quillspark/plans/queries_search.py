@@ -84,6 +84,13 @@ def kw_doi_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).match(f"see https://doi.org/{first['d']} for this" if first else "10.0000/none").select("id_int")
 
 
+def kw_name_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers found by an author's name in free text, typed family name first: that of the first author with two plain names."""
+    plain = F.filter("author", lambda a: a.givenname.rlike("^[A-Z][a-z]+$") & a.familyname.rlike("^[A-Z][a-z]+$"))
+    first = _paper(spark, sf_dir).select("id_int", F.try_element_at(plain, F.lit(1)).alias("a")).filter("a is not null").orderBy("id_int").first()
+    return _index(spark, sf_dir).match(f"{first['a']['familyname']} {first['a']['givenname']}" if first else "Nobody Known").select("id_int")
+
+
 def match_count_by_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).match("cell<OR>memory").groupBy("collection").agg(F.count("*").alias("matches"))
 
@@ -227,7 +234,8 @@ _KEYWORDS = {
     "kw_and_not": ("cell<AND><NOT>memory<OR>court", "list_contains(uni, 'cell') AND (NOT list_contains(uni, 'memory') OR list_contains(uni, 'court'))"),
     "kw_phrase": ("gene expression", "list_contains(bi, 'gene expression')"),
     "kw_field_title": ("Title:memory leak", "list_contains(tbi, 'memory leak')"),
-    "kw_fallback_or": ("Author:Gene Expression", "list_contains(bi, 'gene expression')"),
+    "kw_fallback_or": ("Author:Gene Expression", "list_contains(uni, 'gene') AND list_contains(uni, 'expression')"),
+    "kw_name_unknown": ("Gene Expression<OR>court", "list_contains(uni, 'gene') AND list_contains(uni, 'expression') OR list_contains(uni, 'court')"),
     "kw_short_syntax": (keywords.rewrite(r"gene_expression\tcell|memory\tx!court"), "list_contains(bi, 'gene expression') AND (list_contains(uni, 'cell') OR list_contains(uni, 'memory')) AND NOT list_contains(uni, 'court')"),
 }
 _SIM = "round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6)"
@@ -251,6 +259,7 @@ QUERIES = {
     "kw_doi": _keyword("AvailableField:DOI<AND><NOT>AvailableField:Venue"),
     "kw_author": _keyword("Author.FamilyName:Hulare"),
     "kw_doi_text": kw_doi_text,
+    "kw_name_text": kw_name_text,
     "kw_scan": _keyword("cell<AND>sample", scan=True),
     **{name: _keyword(text) for name, (text, _) in _KEYWORDS.items()},
     "vector_topk": vector_topk,
@@ -301,6 +310,9 @@ SQL = {
     "prefetch_union": _TOKENS + "SELECT 'first' AS service, count(*) AS rows, count(*) AS papers FROM term WHERE list_contains(uni, 'cell') UNION ALL SELECT 'second', count(*), count(*) FROM term WHERE list_contains(uni, 'cell') OR list_contains(uni, 'sample')",
     "result_page": "SELECT * FROM (" + _top("embeddings", _SIM, 10) + ") WHERE rank IN (5, 6)",
     "private_guard": "SELECT count(*) AS with_ids, 0 AS without_ids FROM paper WHERE id_int % 20 = 0",
+    "kw_name_text": """WITH p AS (SELECT id_int, list_filter(author, lambda a: regexp_full_match(a.givenname, '[A-Z][a-z]+') AND regexp_full_match(a.familyname, '[A-Z][a-z]+')) AS named, author FROM paper),
+        w AS (SELECT lower(named[1].givenname) AS g, lower(named[1].familyname) AS f FROM p WHERE len(named) > 0 ORDER BY id_int LIMIT 1)
+        SELECT id_int FROM (SELECT id_int, unnest(author) AS a FROM paper), w WHERE regexp_replace(lower(concat_ws(' ', a.givenname, a.familyname)), '[^\\p{L}\\p{N}_]+', ' ', 'g') IN (g || ' ' || f, f || ' ' || g) GROUP BY id_int""",
     "kw_doi_text": "WITH d AS (SELECT id_int, lower(regexp_replace(regexp_extract(replace(lower(doi), '%2f', '/'), '10\\.[0-9]{4,9}/[^\\s]+'), '[.,;]+$', '')) AS d FROM paper WHERE doi IS NOT NULL) SELECT id_int FROM d WHERE d <> '' AND d = (SELECT d FROM d WHERE d <> '' ORDER BY id_int LIMIT 1)",
     "section_max_rerank": f"SELECT query_id, id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INT) AS rank FROM (SELECT q.vec_id AS query_id, e.label AS id, greatest(max({_SIM}), 0.0) AS similarity FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 GROUP BY 1, 2)",
     "rank_promotion": "SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN up THEN 0 ELSE 1 END, CASE WHEN up THEN s ELSE r END) AS INT) AS new_rank FROM (SELECT *, s <= 10 AND similarity > 0.3 AS up FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, r) AS s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM (" + _top("embeddings", _SIM, 100) + "))))",

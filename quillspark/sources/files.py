@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,77 @@ def decode(content: bytes) -> str:
         return content.decode("latin-1")
 
 
+_INPUT = re.compile(r"\\(?:input|include|subfile)\s*\{([^}]+)\}|\\(?:input|include)\s+([^\s{}\\]+)")
+_REMARK = re.compile(r"(?<!\\)%.*")
+
+
+def flatten_latex(sources: dict[str, bytes]) -> str | None:
+    """The main LaTeX file of an archive with the files it includes in their places; None if there is none.
+
+    The main file is the one with a document class, the shortest path first; a file that
+    includes itself, and one that is not there, add nothing.
+    """
+    texts = {name: "\n".join(_REMARK.sub("%" if _REMARK.search(line) else "", line) for line in decode(content).splitlines()) for name, content in sources.items() if name.lower().endswith((".tex", ".ltx", ".bbl")) or "." not in name.rsplit("/", 1)[-1]}
+    mains = sorted((n for n, t in texts.items() if re.search(r"\\document(?:class|style)", t)), key=lambda n: (n.count("/"), len(n), n))
+    if not mains:
+        return None
+    folder = mains[0].rpartition("/")[0]
+
+    def whole(name: str, above: tuple[str, ...]) -> str:
+        def put(m: re.Match) -> str:
+            asked = (m.group(1) or m.group(2)).strip().removeprefix("./")
+            for option in (asked, asked + ".tex"):
+                found = f"{folder}/{option}" if folder else option
+                if found in texts and found not in above:
+                    return whole(found, (*above, found))
+            return ""
+
+        return _INPUT.sub(put, texts[name])
+
+    text = whole(mains[0], (mains[0],))
+    # the formatted bibliography stands in for the commands that would read it
+    bbl = next((texts[n] for n in (mains[0].rsplit(".", 1)[0] + ".bbl", *sorted(t for t in texts if t.endswith(".bbl"))) if n in texts), None)
+    return re.sub(r"\\bibliography\{[^}]*\}", lambda _: bbl, text) if bbl else text
+
+
+Converter = Callable[[bytes], bytes]
+
+
+def convert(files: DataFrame, pdf: Converter | None = None, latex: Converter | None = None) -> DataFrame:
+    """Papers of uploaded files by their kind: XML is read as it is, PDFs and LaTeX (also archives of it) go through converters to XML first.
+
+    ``files`` has path and content.  Converters are calls of outer programs or services; without
+    one, and for other kinds, the row has an error.
+    """
+
+    def one(path: str, content: bytes) -> dict:
+        kind = path.lower()
+        if kind.endswith(".pdf"):
+            if pdf is None:
+                raise ValueError("no converter of PDFs")
+            return markup.parse(pdf(content))
+        if kind.endswith((".xml", ".nxml", ".tei")):
+            return markup.parse(content)
+        if kind.endswith((".tex", ".gz", ".zip", ".tar", ".tgz")):
+            text = flatten_latex(dict(members(path, content)))
+            if text is None or latex is None:
+                raise ValueError("no LaTeX found" if text is None else "no converter of LaTeX")
+            return markup.parse(latex(text.encode()))
+        raise ValueError("unknown kind of file")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                try:
+                    rows.append({"file": path, "error": None, **one(path, bytes(content))})
+                except Exception as error:  # whatever a converter or a broken file raises belongs to its row
+                    rows.append({"file": path, "error": f"{type(error).__name__}: {error}"[:200], **dict.fromkeys(markup.FIELDS)})
+            yield pd.DataFrame(rows, columns=["file", "error", *markup.FIELDS], dtype=object)
+
+    return files.select("path", "content").mapInPandas(run, f"file string, error string, {markup.SCHEMA}")
+
+
 def parse_documents(files: DataFrame, name: str = "member") -> DataFrame:
     """Papers of XML files; the reader is chosen by the root element, and errors are kept as a column."""
 

@@ -153,6 +153,22 @@ class Store:
         based_on = self.version(name)
         return self._publish(name, based_on, [p for p in self.parts(name, based_on) if p.folder != folder])
 
+    def write_sorted(self, name: str, df: DataFrame, keys: list[str], files: int) -> int:
+        """The rows in files of disjoint ranges of the keys, so that filters on them skip files."""
+        return self.write(name, df.repartitionByRange(files, *keys).sortWithinPartitions(*keys))
+
+    def shard(self, name: str, df: DataFrame, key: str, shards: int) -> int:
+        """The rows as parts, one a shard by the hash of the key, that can be detached and attached; rows may come from the table itself."""
+        based_on = self.version(name)
+        own = F.pmod(F.xxhash64(key), F.lit(shards))
+        return self._publish(name, based_on, [self._add(name, df.filter(own == i)) for i in range(shards)])
+
+    def view(self, name: str, alias: str | None = None) -> DataFrame:
+        """The current version as a view for SQL; called again, the view is that of the version then current."""
+        df = self.read(name)
+        df.createOrReplaceTempView(alias or name)
+        return df
+
     def vacuum(self, name: str, keep: int = 2) -> None:
         """Deletes all but the ``keep`` newest versions and the parts that none of those names."""
         versions = self._versions(name)

@@ -6,11 +6,14 @@ parts, of which a later one replaces the rows of the papers it holds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillspark.operators import lookup, models, postings
 from quillspark.session import Cut
@@ -93,3 +96,30 @@ def run_once(stream_df: DataFrame, out: str, checkpoint: str, mode: str = "appen
     """Runs a stream over what is there now into parquet files."""
     query = stream_df.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def running_totals(events: DataFrame, idle: str = "30 minutes") -> DataFrame:
+    """(user_id, n, total, done) of each user from a stream of events, kept as state between batches.
+
+    A user's totals come out after every batch with events of theirs, and once more, with
+    ``done``, when none has come for ``idle`` of event time; then the state is dropped.
+    """
+    minutes = {"seconds": 1 / 60, "minutes": 1, "hours": 60, "days": 1440}
+    number, unit = idle.split()
+    wait = int(float(number) * minutes[unit if unit.endswith("s") else unit + "s"] * 60_000)
+
+    def step(key, frames, state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total, last = state.get if state.exists else (0, 0.0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "done": [True]})
+            return
+        for frame in frames:
+            n, total = n + len(frame), total + float(frame["value"].fillna(0).sum())
+            last = max(last, int(frame["ts"].max().timestamp() * 1000))
+        state.update((n, total, last))
+        state.setTimeoutTimestamp(max(last + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total], "done": [False]})
+
+    timed = events.select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value").withWatermark("ts", idle)
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double, done boolean", "n long, total double, last long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -88,7 +88,9 @@ GOLDEN = {
     "DOI:10.1/ABC": "doi:10.1/abc",
     "Author.FamilyName:Doe": "author.familyname:doe",
     "Author.FullName:John Doe": ("or", "author.fullname:john doe", "author.fullname:doe john"),
-    "Author:John Doe": ("or", "author.fullname:john doe", "author.fullname:doe john", "john doe"),
+    "Author:John Doe": ("or", "author.fullname:john doe", "author.fullname:doe john", ("and", "john", "doe")),
+    "John Doe": ("or", "author.fullname:john doe", "author.fullname:doe john", ("and", "john", "doe")),
+    "Author:Doe": ("or", "author.familyname:doe", "author.givenname:doe", "doe"),
     "AvailableField:DOI": "availablefield:doi",
     "foo:bar": "bar",
     "cats<NOT>dogs": ("not", "dog"),
@@ -132,7 +134,7 @@ def test_matching_both_ways_equals_sets(spark):
 
 
 def test_fallback_is_used_only_without_matches(spark):
-    df = spark.createDataFrame([(1, ["author.fullname:john doe"]), (2, ["john doe"])], "id int, terms array<string>")
+    df = spark.createDataFrame([(1, ["author.fullname:john doe"]), (2, ["john", "doe", "john doe"])], "id int, terms array<string>")
     assert [r.id for r in K.match_rows(df, "terms", K.parse("Author:John Doe")).collect()] == [1]
     assert [r.id for r in K.match_rows(df.filter("id = 2"), "terms", K.parse("Author:John Doe")).collect()] == [2]
 
@@ -150,3 +152,8 @@ def test_title_search_falls_back(spark):
     titles = spark.createDataFrame([(1, "Deep cells: a study", None), (2, "Quantum memroy leaks in practice", "Doe"), (3, "Quantum memory leaks in practise", "Roe"), (4, "", None)], "q int, title string, family string")
     papers = spark.createDataFrame([(10, "deep CELLS a study", []), (20, "Quantum memory leaks in practice", ["Doe"])], "id int, title string, families array<string>")
     assert {(r.q, r.id, r.found_by) for r in search.search_titles(titles, papers, "q", "id").collect()} == {(1, 10, "title"), (2, 20, "search")}
+
+
+def test_names_in_free_text():
+    assert K.looks_like_name("Jo van Doe") == ("Jo", "Doe") and K.looks_like_name("Émile A. Roe") == ("Émile", "Roe") and K.looks_like_name("gene expression") is None and K.looks_like_name("Memory") is None
+    assert K.parse("some one", person=lambda t: ("some", "one")).fallback == 2
