@@ -303,13 +303,13 @@ def fit(table: DataFrame, labels: DataFrame, areas: DataFrame, cut: Cut, keep: l
     held = spark.createDataFrame([(h,) for h in at], "h int")
     # words of labelled documents; a document with two labels counts half for each
     clean = labels.select("doc_id", "subject").filter(F.col("subject").isin(subjects)).distinct()
+    labelled = cut(clean.groupBy("doc_id").agg(F.collect_list("subject").alias("ss")).join(docs.select("doc_id", "lang", "h"), "doc_id"))
     # a third of the labelled documents names the topics, of subjects that have enough of them in a language
-    clean = clean.join(docs.select("doc_id", "lang"), "doc_id").distinct()
-    enough = clean.groupBy("subject", "lang").agg((F.count("*") >= FEW_LABELS).alias("enough"))
-    clean = clean.join(enough, ["subject", "lang"], "left")
+    each = labelled.select("doc_id", "lang", F.explode("ss").alias("subject"))
+    enough = each.groupBy("subject", "lang").agg((F.count("*") >= FEW_LABELS).alias("enough"))
+    spare = each.join(enough, ["subject", "lang"], "left").groupBy("doc_id").agg(F.bool_and(F.coalesce("enough", F.lit(False))).alias("enough"))
     kept_back = (F.pmod(F.xxhash64(F.lit("name"), "doc_id"), F.lit(3)) == 0) & F.col("enough")
-    weight = clean.groupBy("doc_id").agg(F.collect_list("subject").alias("ss"), F.bool_and(F.coalesce("enough", F.lit(False))).alias("enough")).join(docs.select("doc_id", "h"), "doc_id")
-    weight = weight.select(F.explode("h").alias("h"), "ss", kept_back.alias("back")).join(F.broadcast(held), "h", "left_semi").select("h", "back", F.explode("ss").alias("subject"), (1 / F.size("ss")).alias("w"))
+    weight = labelled.join(spare, "doc_id").select(F.explode("h").alias("h"), "ss", kept_back.alias("back")).join(F.broadcast(held), "h", "left_semi").select("h", "back", F.explode("ss").alias("subject"), (1 / F.size("ss")).alias("w"))
     seeds, naming = np.zeros((2, len(vocabulary), len(subjects)))
     for r in weight.groupBy("h", "subject", "back").agg(F.sum("w").alias("w")).collect():
         (naming if r.back else seeds)[at[r.h], subjects.index(r.subject)] += r.w
