@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import queries_nested, queries_orphans, queries_records, queries_search, queries_sql
+from quillspark.plans import queries_adapters, queries_nested, queries_orphans, queries_records, queries_search, queries_sql
 
-MODULES = (queries_nested, queries_orphans, queries_search, queries_records, queries_sql)
+MODULES = (queries_adapters, queries_nested, queries_orphans, queries_search, queries_records, queries_sql)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
