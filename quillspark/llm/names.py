@@ -112,11 +112,29 @@ def near(a: str, b: str, least: int = 5) -> bool:
     return a[i + 1 :] == b[i:] if la > lb else a[i:] == b[i + 1 :]
 
 
+@lru_cache(100_000)
+def _letters(a: str) -> int:
+    """A bit for each letter in a word, by its code."""
+    mask = 0
+    for c in a:
+        mask |= 1 << (ord(c) & 63)
+    return mask
+
+
 @lru_cache(100_000)
 def apart(a: str, b: str, most: int = 2) -> int:
     """Edits and swaps of neighbours between two words, ``most`` + 1 if they are more."""
-    if abs(len(a) - len(b)) > most:
+    # an edit changes two bits at most
+    if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return most + 1
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    a, b = a[head:], b[head:]
+    while a and b and a[-1] == b[-1]:
+        a, b = a[:-1], b[:-1]
+    if abs(len(a) - len(b)) > most or not a or not b:
+        return min(max(len(a), len(b)), most + 1)
     before: list[int] = []
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
