@@ -104,8 +104,8 @@ def _array(v: Column) -> Column:
 
 
 def _object(v: Column) -> Column:
-    """The variant if it holds an object, else null."""
-    return F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), v)
+    """The variant if it holds an object, else null; a struct without fields fits any object and copies nothing."""
+    return F.when(F.try_variant_get(v, "$", "struct<>").isNotNull(), v)
 
 
 def _text(v: Column) -> Column:
