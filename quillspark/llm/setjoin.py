@@ -242,7 +242,7 @@ def similar_sets(rows: DataFrame, threshold: float, trees: int = 5, seed: int =
     joined = pairs.join(left, "a").join(right, "b").withColumn("both", both)
     similarity = F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))
     links = joined.withColumn("similarity", similarity).filter(F.col("both") >= F.lit(threshold) * (F.size("sa") + F.size("sb") - F.col("both")) - F.lit(1e-9)).select("a", "b", "similarity")
-    return members, cut(links)
+    return cut.only(members, cut(links))
 
 
 def word_set(*texts: str) -> F.Column:
