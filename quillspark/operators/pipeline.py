@@ -80,8 +80,8 @@ def document_search(
     words = F.concat_ws(" ", "source", plain_keywords(F.lit(keywords)))
     queries = cut(models.embed(wanted.filter("trim(source) <> ''").select("query_id", words.alias("t")), "query_id", "t", embedder))
     live = cut(matching.select("id").distinct())
-    total, n_matching = embeddings.count(), live.count()
-    if index is not None and strategy(n_matching, total) == "index":
+    n_matching = live.count()
+    if index is not None and strategy(n_matching, index.total) == "index":
         near = index.search(queries, prefetch).join(live, "id", "left_semi").join(papers.select("id", "collection"), "id")
     else:
         rows = cut(embeddings.join(live, "id", "left_semi").join(papers.select("id", "collection"), "id").select("id", "v", "collection"))

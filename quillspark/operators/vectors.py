@@ -162,7 +162,7 @@ class InvertedFile:
     CELL_ROWS = 50_000
 
     def __init__(self, rows: DataFrame, cells: int | None = None, seed: int = 11, rounds: int = 10):
-        total = rows.count()
+        self.total = total = rows.count()
         part = rows.select("v") if total <= self.SAMPLE else rows.select("v").sample(False, self.SAMPLE / total, seed)
         data = np.array([r.v for r in part.limit(self.SAMPLE + self.SAMPLE // 10).collect()], np.float64)
         rng = np.random.default_rng(seed)

@@ -147,3 +147,17 @@ def test_sections_of_a_paper(spark):
     assert got == {1: (["T", "A.  B.", ""], 2), 2: (["T"], 1)}
     scored = search.rerank(spark.createDataFrame([(1, "q", 1, "x"), (1, "q", 2, "xx")], "query_id int, query string, id int, text string"), 1, lambda q, t: t.str.len().astype("float64"))
     assert [r.id for r in scored.collect()] == [2] and isinstance(pd.Series([1]), pd.Series)
+
+
+def test_search_through_the_index_filters_its_hits(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, 10)) for _ in range(60)]
+    papers = spark.createDataFrame([(i, "a", i, texts[i], "", texts[i]) for i in range(60)], "id long, collection string, id_int long, title string, abstract string, content string")
+    asked = spark.createDataFrame([(1, texts[4], None, None, "")], "query_id long, text string, collection string, id_int long, keywords string")
+    model = models.HashedWords(16)
+    embeddings = models.embed(papers, "id", "content", model)
+    monkeypatch.setattr(pipeline, "strategy", lambda n, total: "index")
+    results, _ = pipeline.document_search(asked, papers, papers.filter("id % 2 = 0").select("id"), embeddings, "", 5, 20, model, index=vectors.InvertedFile(embeddings))
+    found = [r.id for r in results.orderBy("rank").collect()]
+    assert found and found[0] == 4 and all(i % 2 == 0 for i in found)
