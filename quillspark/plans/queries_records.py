@@ -103,6 +103,21 @@ def dup_key_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.cascade_match(asked, known, "meta_id", "id_int")
 
 
+def dup_cascade_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matches that the cascade decides by the DOI, and how many asked records it decides otherwise."""
+    hits = dup_key_cascade(spark, sf_dir)
+    return hits.filter("key_type = 'doi'").select("meta_id", "id_int")
+
+
+def dup_cascade_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invariants of the cascade: records with matches of two kinds, and matches by title although the DOI has some; one row."""
+    hits = dup_key_cascade(spark, sf_dir)
+    kinds = hits.groupBy("meta_id").agg(F.count_distinct("key_type").alias("n")).agg(F.count_if(F.col("n") > 1).alias("two_kinds"))
+    doi = hits.filter("key_type = 'doi'").select("meta_id").distinct()
+    late = hits.filter("key_type <> 'doi'").join(doi, "meta_id", "left_semi").agg(F.count("*").alias("late"))
+    return kinds.crossJoin(late)
+
+
 def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").filter("text is not null").groupBy(F.md5("text").alias("hash"))
     return rows.agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
@@ -377,7 +392,7 @@ _SPANS_SQL = f"""first AS ({_FIRST}), raw AS (SELECT para_id, text, unnest(coale
         kept AS (SELECT n.*, row_number() OVER (PARTITION BY n.para_id ORDER BY n.i) AS k, coalesce(lag(n.b) OVER (PARTITION BY n.para_id ORDER BY n.i), 0) AS before FROM numbered n JOIN walk w ON w.para_id = n.para_id AND w.i = n.i AND w.kept)"""
 QUERIES = {f.__name__: f for f in (
     projection_nested, json_props_projection, multi_get_ordered, left_join_first_match, abstract_fill, anti_join_new_docs, upsert_merge, append_with_ids, row_counts,
-    dup_keys, dup_key_cascade, exact_dup_groups, dedup_first, version_dedup, title_resolve, title_search, new_versions, ascii_names, sections_islands, span_gap_fill, span_non_overlap, citation_edges,
+    dup_keys, dup_key_cascade, dup_cascade_doi, dup_cascade_faults, exact_dup_groups, dedup_first, version_dedup, title_resolve, title_search, new_versions, ascii_names, sections_islands, span_gap_fill, span_non_overlap, citation_edges,
     sentence_split, sentence_merge, highlight_spans, near_match, fuzzy_titles, summary_top_sentences, lexical_rerank, cite_mla, cite_bibtex, cite_card, reference_texts,
     author_abbrev, md5_base64, doi_urls, affiliations, venue_join,
     dup_keys_stemmed, dup_by_collection, federated_doi, federated_get, live_shard_counts, point_lookup, cited_numbers, paper_dates, marker_ranges, last_markers, common_venue, markers_replaced,
@@ -398,6 +413,8 @@ SQL = {
     "dup_keys": f"""WITH base AS (SELECT id_int, {_DOI} AS d, {_key_sql("coalesce(title, '')")} AS k FROM paper), parts AS (SELECT *, list_filter(string_split(k, ' '), lambda w: w <> '') AS p FROM base)
         SELECT DISTINCT id_int, key_type, key FROM (SELECT id_int, 'doi' AS key_type, d AS key FROM parts UNION ALL SELECT id_int, 'title', k FROM parts UNION ALL
         SELECT id_int, 'head_tail', 'h ' || array_to_string(p[1:5], ' ') FROM parts WHERE len(p) >= 5 UNION ALL SELECT id_int, 'head_tail', 't ' || array_to_string(p[len(p)-4:len(p)], ' ') FROM parts WHERE len(p) >= 5) WHERE key <> ''""",
+    "dup_cascade_doi": f"WITH a AS (SELECT meta_id, {_DOI} AS d FROM meta_record), b AS (SELECT id_int, {_DOI} AS d FROM paper) SELECT meta_id, id_int FROM a JOIN b USING (d) WHERE d <> ''",
+    "dup_cascade_faults": "SELECT 0 AS two_kinds, 0 AS late",
     "exact_dup_groups": "SELECT md5(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "dedup_first": f"SELECT min(id_int) AS id_int FROM (SELECT id_int, k || '|' || {_ABBREV} AS key FROM (SELECT id_int, {_key_sql("coalesce(title, '')")} AS k, {_parts(_FIRST_AUTHOR)} AS p FROM paper)) GROUP BY key",
     "version_dedup": "SELECT collection, id_int, arg_max(parser_tag, last_update_unixtime) AS parser_tag, max(last_update_unixtime) AS last_update_unixtime FROM paper_store GROUP BY collection, id_int",

@@ -198,6 +198,15 @@ def document_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.document_search(asked, papers, matching, embeddings, "cell<OR>memory", 10, 50)[0].select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
+def sentence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three sentences of each abstract that hold most of the title's words."""
+    parts = T.split_sentences(F.coalesce("abstract", F.lit("")))
+    rows = _paper(spark, sf_dir).select("id_int", F.coalesce("title", F.lit("")).alias("title"), F.posexplode(parts).alias("pos", "s"))
+    scored = rows.select("id_int", "pos", F.round(search.lexical_score(F.col("title"), F.col("s")), 6).alias("score"))
+    by = Window.partitionBy("id_int").orderBy(F.desc("score"), "pos")
+    return scored.withColumn("rank", F.row_number().over(by)).filter("rank <= 3")
+
+
 def query_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is asked by text, by a stored paper, by one that is not stored, and by keywords only."""
     paper = _paper(spark, sf_dir)
@@ -269,6 +278,7 @@ QUERIES = {
     "quantised_int4_topk": quantised_int4_topk,
     "document_search": document_search,
     "query_sources": query_sources,
+    "sentence_topk": sentence_topk,
     "prefetch_union": prefetch_union,
     "result_page": result_page,
     "private_guard": private_guard,
@@ -307,6 +317,11 @@ SQL = {
     "hamming_words": "SELECT CAST(word AS INT) AS word, CAST(len(list_filter(part, lambda x: x > 0)) AS INT) AS ones, count(*) AS vectors FROM (SELECT unnest([0, 1]) AS word, unnest([embedding[1:63], embedding[64:]]) AS part FROM embeddings) GROUP BY 1, 2",
     "ann_ivf_enough": "SELECT true AS enough, count(*) * 10 AS pairs FROM embeddings WHERE vec_id % 20 = 0",
     "query_sources": """SELECT id_int AS query_id, CASE WHEN id_int % 3 = 0 THEN 'about ' || id_int WHEN id_int % 3 = 1 AND trim(coalesce(title, '')) <> '' THEN title ELSE 'gene  cell leaf' END AS source FROM paper""",
+    "sentence_topk": f"""WITH p AS (SELECT id_int, coalesce(title, '') AS title, regexp_split_to_array(trim(regexp_replace(coalesce(abstract, ''), '\\s+', ' ', 'g'), ' '), '\\.\\s') AS p FROM paper),
+        s AS (SELECT id_int, title, list_filter(list_transform(p, lambda x, i: CASE WHEN i < len(p) THEN x || '.' ELSE x END), lambda x: trim(x, ' ') <> '') AS s FROM p),
+        w AS (SELECT id_int, CAST(i - 1 AS INT) AS pos, list_distinct(list_filter({_HELD.replace("text", "title")}, lambda x: NOT list_contains({_STOP}, x))) AS q, list_distinct(list_filter({_HELD.replace("text", "s[i]")}, lambda x: NOT list_contains({_STOP}, x))) AS t FROM s, unnest(generate_series(1, len(s))) AS u(i)),
+        r AS (SELECT id_int, pos, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, t)) / len(q), 6) ELSE 0.0 END AS score FROM w)
+        SELECT id_int, pos, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id_int ORDER BY score DESC, pos) AS rank FROM r) WHERE rank <= 3""",
     "prefetch_union": _TOKENS + "SELECT 'first' AS service, count(*) AS rows, count(*) AS papers FROM term WHERE list_contains(uni, 'cell') UNION ALL SELECT 'second', count(*), count(*) FROM term WHERE list_contains(uni, 'cell') OR list_contains(uni, 'sample')",
     "result_page": "SELECT * FROM (" + _top("embeddings", _SIM, 10) + ") WHERE rank IN (5, 6)",
     "private_guard": "SELECT count(*) AS with_ids, 0 AS without_ids FROM paper WHERE id_int % 20 = 0",
