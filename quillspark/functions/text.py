@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,14 +126,19 @@ def alike(a: Column, b: Column, least: float = 90.0) -> Column:
 
 
 def _ends(needle: str, text: str, most: int) -> list[int]:
-    """Places in a text where a match within an edit distance ends, by bit-parallel columns: a few operations on long integers for each character."""
+    """Places in a text where a match within an edit distance ends."""
+    return [j for j, score in enumerate(_scores(needle, text)) if score <= most]
+
+
+def _scores(needle: str, text: str) -> Iterator[int]:
+    """For each place of a text the least distance of a match that ends there, by bit-parallel columns: a few operations on long integers for each character."""
     m = len(needle)
     full, high = (1 << m) - 1, 1 << m - 1
     at: dict[str, int] = {}
     for i, c in enumerate(needle):
         at[c] = at.get(c, 0) | 1 << i
-    plus, minus, score, out = full, 0, m, []
-    for j, c in enumerate(text):
+    plus, minus, score = full, 0, m
+    for c in text:
         equal = at.get(c, 0)
         vertical = equal | minus
         across = (((equal & plus) + plus) ^ plus) | equal
@@ -142,9 +149,7 @@ def _ends(needle: str, text: str, most: int) -> list[int]:
             score -= 1
         up, down = up << 1 & full, down << 1 & full
         plus, minus = down | full & ~(vertical | up), up & vertical
-        if score <= most:
-            out.append(j)
-    return out
+        yield score
 
 
 def near_matches(needle: str, text: str, most: int) -> list[tuple[int, int]]:
@@ -216,19 +221,25 @@ def find_near(needle: pd.Series, text: pd.Series, most: pd.Series) -> pd.Series:
 PASSAGE_EDITS, PROBE = (5, 10, 15), 30
 
 
+def _first_near(needle: str, text: str) -> tuple[int, int] | None:
+    """The first place within the least of ``PASSAGE_EDITS`` that has any; one pass tells which that is."""
+    least = min(_scores(needle, text), default=len(needle))
+    # a needle no longer than a distance is near everywhere
+    level = next((most for most in PASSAGE_EDITS if least <= most or len(needle) <= most), None)
+    found = near_matches(needle, text, level) if level is not None else []
+    return found[0] if found else None
+
+
 def passage(needle: str, text: str) -> tuple[int, int] | None:
     """Where a passage stands in a text, by rising edit distance, else by a probe from its middle."""
     needle, text = needle.lower(), text.lower()
-    for most in PASSAGE_EDITS:
-        if found := near_matches(needle, text, most):
-            a, b = found[0]
-            return (a, b - 1) if a < b - 1 else None
+    if found := _first_near(needle, text):
+        return (found[0], found[1] - 1) if found[0] < found[1] - 1 else None
     if len(needle) <= PROBE:
         return None
     at = (len(needle) - PROBE) // 2
-    for most in PASSAGE_EDITS:
-        if found := near_matches(needle[at : at + PROBE], text, most):
-            return found[0][0] - at, found[0][1] + len(needle) - at - PROBE
+    if found := _first_near(needle[at : at + PROBE], text):
+        return found[0] - at, found[1] + len(needle) - at - PROBE
     return None
 
 
