@@ -222,3 +222,17 @@ def test_recall_of_planted_works(spark):
             want.add((10_000 + i, i))
     got = {(r.id_l, r.id_r) for r in linkage.link(works(spark, left), works(spark, right)).collect()}
     assert len(got & want) / len(want) >= 0.97 and len(got & want) / len(got) >= 0.97
+
+
+def test_candidates_keep_no_tables_and_no_pairs_of_few_common_words(spark):
+    cut = Cut(spark)
+    long = "gamma delta epsilon zeta eta theta iota kappa lamda omicron"
+    left = [(1, f"unusual peculiar singular {long}", [], None, "", "", ""), (2, f"unusual peculiar singular {long} rho", [], None, "", "", "")]
+    right = [(1, "unusual peculiar singular one two three four five six seven eight nine", [], None, "", "", ""), (2, f"unusual peculiar singular {long}", [], None, "", "", "")]
+    l, r = (cut(linkage.records(works(spark, side))) for side in (left, right))
+    held = len(cut.tables)
+    met = linkage.candidates(l, r, cut)
+    assert {(x.id_l, x.id_r) for x in met.collect()} == {(1, 2), (2, 2)}
+    assert len(cut.tables) == held + 1
+    kept = {(x.id_l, x.id_r) for x in linkage.alike(l.select(F.col("id").alias("id_l")).crossJoin(r.select(F.col("id").alias("id_r"))).withColumn("run", F.lit(False)), l, r).collect()}
+    assert kept == {(1, 2), (2, 2)}
