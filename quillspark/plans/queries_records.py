@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import citations
 from quillspark.functions import text as T
-from quillspark.operators import federation, lookup, projection, search, sections, summary
+from quillspark.operators import bands, federation, lookup, projection, search, sections, summary
 from quillspark.session import table
 
 _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOPWORDS) + "]"
@@ -208,18 +208,16 @@ def near_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "id_int", F.explode(T.find_passage("needle", "text")).alias("s")).select("doc_id", "id_int", "s.start", "s.end")
 
 
-def _alike_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(meta_id, id_int, a, b) of records whose titles meet in a band of letter triples."""
+def _titled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(meta_id, a) and (id_int, b, text): the records whose titles meet in a band of letter triples."""
     meta = table(spark, sf_dir, "meta_record").select("meta_id", F.coalesce("title", F.lit("")).alias("a"))
-    paper = _paper(spark, sf_dir).select("id_int", F.coalesce("title", F.lit("")).alias("b"))
-    met = lookup.blocked(meta.select("meta_id", F.explode(search.title_bands(F.col("a"))).alias("k")), paper.select("id_int", F.explode(search.title_bands(F.col("b"))).alias("k")), ["k"], "meta_id", "id_int")
-    return met.select("meta_id", "id_int").distinct().join(meta, "meta_id").join(paper, "id_int")
+    return meta, _paper(spark, sf_dir).select("id_int", F.coalesce("title", F.lit("")).alias("b"), F.concat_ws(" ", "title", "abstract").alias("text"))
 
 
 def fuzzy_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title ratios of records found alike by their letters."""
-    a, b = F.lower("a"), F.lower("b")
-    return _alike_titles(spark, sf_dir).filter(T.alike(a, b, 80.0)).select("meta_id", "id_int", F.round(T.ratio(a, b), 6).alias("ratio"), T.alike(a, b).alias("alike"))
+    met = bands.alike(*_titled(spark, sf_dir), "meta_id", "id_int", F.col("a"), F.col("b"), search.title_bands, 80.0)
+    return met.select("meta_id", "id_int", F.round("ratio", 6).alias("ratio"), (F.col("ratio") > 90.0).alias("alike"))
 
 
 def summary_top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
