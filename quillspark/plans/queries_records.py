@@ -227,9 +227,8 @@ def summary_top_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The papers whose title is alike that of a meta record, ranked by the words they share with it."""
-    text = _paper(spark, sf_dir).select("id_int", F.concat_ws(" ", "title", "abstract").alias("text"))
-    pairs = _alike_titles(spark, sf_dir).join(text, "id_int").select(F.col("meta_id").alias("query_id"), F.col("a").alias("query"), F.col("id_int").alias("id"), "text")
-    return search.rerank(pairs, 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+    met = bands.most_words(*_titled(spark, sf_dir), "meta_id", "id_int", F.col("a"), F.col("b"), F.col("text"), search.title_bands, 5)
+    return search.ranked(met.select(F.col("meta_id").alias("query_id"), F.col("id_int").alias("id"), "score"), 5).select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 def dup_keys_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
