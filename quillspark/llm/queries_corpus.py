@@ -25,7 +25,7 @@ def p9_makeup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     documents = table(spark, sf_dir, "documents")
-    count = tokens.counter(tokens.build_lexicon(documents, "text"))
+    count = tokens.counter(tokens.build_lexicon(spark))
     rows = subjects.leading(documents.select("doc_id", "lang", "text", "source"), table(spark, sf_dir, "subject_label"), table(spark, sf_dir, "subject_area"), ["source"], count)
     return mixing.plan(rows, table(spark, sf_dir, "mix_target"))
 

@@ -2,9 +2,9 @@
 
 The pieces of the tokenizer's split pattern are looked up in a lexicon: a minimal acyclic
 transducer whose states share suffixes and whose path counts give each word its ordinal,
-which points to the word's ids.  It is compiled once on the driver from the frequent words
-of a bounded sample, stored as one file, distributed by Spark and memory-mapped by every
-worker.  Words outside of it are merged exactly by rank, so the sample affects speed only.
+which points to the word's ids.  It is compiled once on the driver from the tokenizer's
+whole vocabulary, stored as one file, distributed by Spark and memory-mapped by every
+worker.  Words outside of it are merged exactly by rank; no text is read for it.
 
 Lookups are vectorised: the distinct pieces of a block of texts step through the
 transducer together, one byte position at a time.
@@ -22,14 +22,13 @@ import json
 import re
 import sys
 import uuid
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.session import delete, shared_dir
@@ -41,7 +40,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: The same split in the faster standard module; it differs only on characters that ``pieces`` tests for.
 FAST = re.compile(r"""'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 BLOCK_CHARS = 1_500_000
-SAMPLE_TEXTS, LEXICON_WORDS = 2_000, 20_000
 
 
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
@@ -304,24 +302,23 @@ def text_blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
         yield block
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count: Counter = Counter()
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            count.update(pieces(text or ""))
-    yield pa.RecordBatch.from_pydict({"w": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
-
-
-def build_lexicon(df: DataFrame, text: str, ranks: str = DEFAULT_RANKS, sample_texts: int = SAMPLE_TEXTS, words: int = LEXICON_WORDS) -> str:
-    """Compiles the frequent words of about ``sample_texts`` texts; returns the file's name among the files Spark distributes."""
-    spark = df.sparkSession
-    total = df.count()
-    part = df.select(F.col(text).alias("t"))
-    if total > sample_texts:
-        part = part.sample(False, sample_texts / total, 17)
-    top = part.mapInArrow(_count_words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(words).collect()
-    merger = _merger(ranks)
-    raw = compile_lexicon({r.w: merger(r.w) for r in top if r.w})
+@lru_cache(4)
+def vocabulary_lexicon(path: str) -> bytes:
+    """The transducer of all words of a vocabulary that can be a piece; the same whatever the texts are."""
+    words = {}
+    for raw, rank in load_ranks(path).items():
+        try:
+            word = raw.decode()
+        except UnicodeDecodeError:  # a part of a character
+            continue
+        if pieces(word) == [word]:
+            words[word] = [rank]
+    return compile_lexicon(words)
+
+
+def build_lexicon(spark: SparkSession, ranks: str = DEFAULT_RANKS) -> str:
+    """Compiles the tokenizer's vocabulary; returns the file's name among the files Spark distributes."""
+    raw = vocabulary_lexicon(ranks)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     uri = f"{shared_dir(spark)}/{name}"
     jvm = spark.sparkContext._jvm
@@ -339,7 +336,7 @@ def build_lexicon(df: DataFrame, text: str, ranks: str = DEFAULT_RANKS, sample_t
 
 def encode(df: DataFrame, key: str, text: str, ranks: str = DEFAULT_RANKS, lexicon: str | None = None) -> DataFrame:
     """(key, ids array<int>) for every row; no shuffle."""
-    name = lexicon or build_lexicon(df, text, ranks)
+    name = lexicon or build_lexicon(df.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Lexicon(SparkFiles.get(name)), ranks)
@@ -372,7 +369,7 @@ def counter(name: str, ranks: str = DEFAULT_RANKS) -> Callable[[], Callable[[lis
 
 def count_tokens(df: DataFrame, text: str, out: str = "tokens", ranks: str = DEFAULT_RANKS, lexicon: str | None = None) -> DataFrame:
     """The rows of ``df`` without the text and with its number of tokens."""
-    name = lexicon or build_lexicon(df, text, ranks)
+    name = lexicon or build_lexicon(df.sparkSession, ranks)
     rest = [c for c in df.columns if c != text]
     make = counter(name, ranks)
 

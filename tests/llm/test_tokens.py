@@ -68,3 +68,15 @@ def test_memo_may_overflow(tmp_path):
     encoder.MEMO = 3
     first = [encoder.block([t])[0].tolist() for t in ("a b c d", "a e f g", "a b c d")]
     assert first[0] == first[2]
+
+
+def test_lexicon_is_the_whole_vocabulary_and_reads_no_text(spark):
+    from pyspark import SparkFiles
+
+    lexicon = K.Lexicon(SparkFiles.get(K.build_lexicon(spark)))
+    words = [w for w in (r.decode("utf-8", "replace") for r in RANKS) if "�" not in w and K.pieces(w) == [w]]
+    raw = [w.encode() for w in words]
+    size = np.array([len(r) for r in raw], np.int64)
+    found = lexicon.find(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size)
+    assert len(words) > 30_000 and (found >= 0).all()
+    assert [int(lexicon.ids[lexicon.start[at]]) for at in found] == [RANKS[r] for r in raw]
