@@ -236,3 +236,19 @@ def test_candidates_keep_no_tables_and_no_pairs_of_few_common_words(spark):
     assert len(cut.tables) == held + 1
     kept = {(x.id_l, x.id_r) for x in linkage.alike(l.select(F.col("id").alias("id_l")).crossJoin(r.select(F.col("id").alias("id_r"))).withColumn("run", F.lit(False)), l, r).collect()}
     assert kept == {(1, 2), (2, 2)}
+
+
+def test_heads_of_many_pairs_meet_by_names_and_years(spark, monkeypatch):
+    rng = random.Random(3)
+    side = lambda n: spark.createDataFrame([(i, rng.choice((7, 7, 8)), rng.sample(range(40), rng.choice((0, 1, 2, 3))), rng.choice((None, *range(1990, 2020)))) for i in range(n)], "id long, key long, people array<int>, year int")
+    left, right = side(60), side(50)
+    near = F.abs(F.col("year_l") - F.col("year_r")) <= 1
+    bare = ((F.size("people_l") == 0) | (F.size("people_r") == 0)) & (F.col("year_l").isNull() | F.col("year_r").isNull())
+    where = near | bare | F.arrays_overlap("people_l", "people_r")
+    want = {(a.id, b.id) for a in left.collect() for b in right.collect() if a.key == b.key and (set(a.people) & set(b.people) or (None not in (a.year, b.year) and abs(a.year - b.year) <= 1) or (not (a.people and b.people) and None in (a.year, b.year)))}
+    monkeypatch.setattr(linkage, "FINER_PAIRS", 10)
+    rows = [(r.id_l, r.id_r) for t in linkage._meet(left, right, Cut(spark), where, linkage._common_name_or_year()) for r in t.collect()]
+    assert set(rows) == want
+    # what is met without the condition is hardly more than what satisfies it
+    bare_rows = [t.count() for t in linkage._meet(left, right, Cut(spark), None, linkage._common_name_or_year())]
+    assert sum(bare_rows) < 2 * len(want) < left.join(right, "key").count() * 2
